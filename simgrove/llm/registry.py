@@ -20,11 +20,23 @@ def op3_pack_sequences(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_line_frequency(spark, sf_dir):
+    from .quality import quality
+
+    return quality(documents(spark, sf_dir)).drop("content")
+
+
 def op8_token_counts(spark, sf_dir):
     from .token_counts import count_tokens
 
     return count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pack_sequences, op8_token_counts)}
+def op9_license_scan(spark, sf_dir):
+    from .licenses import scan_licenses
+
+    return scan_licenses(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op3_pack_sequences, op4_line_frequency, op8_token_counts, op9_license_scan)}
 ORACLES: dict[str, str] = {}
