@@ -38,5 +38,11 @@ def op9_license_scan(spark, sf_dir):
     return scan_licenses(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_pack_sequences, op4_line_frequency, op8_token_counts, op9_license_scan)}
+def op10_toxicity(spark, sf_dir):
+    from .toxicity import score_toxicity
+
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op3_pack_sequences, op4_line_frequency, op8_token_counts, op9_license_scan, op10_toxicity)}
 ORACLES: dict[str, str] = {}
