@@ -94,17 +94,37 @@ class TokenCounter:
         return np.array([(head[h] if h else 0) + sum(map(rest.__getitem__, r)) for h, r in zip(heads, rests, strict=True)], np.int64)
 
 
+#: Runs of Latin letters and runs of other characters. The tokenizer separates letters from all else, so
+#: these are whole pre-tokens or sequences of them; letters after an apostrophe stay with it ("'s").
+_RUNS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[^A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?:(?<=')[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)?")
+#: Characters outside of ASCII and Latin letters: combining marks, other scripts, other white space.
+_OTHER = re.compile(r"[^\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+
+
 class WordEncoder:
-    """Token ids for a tokenizer that drops white space and encodes each word by itself, as bytes of dtype."""
+    """Token ids for a tokenizer that drops white space and encodes each word by itself, as bytes of dtype.
+
+    Chunks between blanks are looked up first; an unknown chunk is put together from its runs, where its
+    characters make that safe, and only an unknown run goes to the library.
+    """
 
     def __init__(self, path: str):
         self.dtype = np.dtype("<u2") if tokenizer(path).get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.cache = ChunkCache(path, "", lambda ids: np.array(ids, self.dtype).tobytes())
+        self.chunks: dict[str, bytes] = {}
+        self.runs = ChunkCache(path, "", lambda ids: np.array(ids, self.dtype).tobytes())
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.chunks) > CACHE_ENTRIES:
+            self.chunks = {}
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.cache.learn(set().union(*parts) if parts else set())
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        new = [c for c in (set().union(*parts) if parts else ()) if c not in self.chunks]
+        split = [[c] if "<|" in c or _OTHER.search(c) else [r.lower() if r.isascii() else r for r in _RUNS.findall(c)] for c in new]
+        known = self.runs.learn(set().union(*split) if split else set())
+        found = {c: b"".join(map(known.__getitem__, s)) for c, s in zip(new, split, strict=True)}
+        short = {c: v for c, v in found.items() if len(c) <= LONG_CHUNK}
+        self.chunks.update(short)
+        look = self.chunks if len(short) == len(found) else _Both(found, self.chunks)
+        return [b"".join(map(look.__getitem__, p)) for p in parts]
 
 
 _made: dict[tuple, object] = {}
