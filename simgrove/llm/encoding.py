@@ -7,10 +7,14 @@ long one is simply many chunks. The cache is emptied when it reaches ``CACHE_ENT
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+
+from . import kernels as K
 
 CACHE_ENTRIES = 400_000
 LONG_CHUNK = 64
@@ -94,37 +98,93 @@ class TokenCounter:
         return np.array([(head[h] if h else 0) + sum(map(rest.__getitem__, r)) for h, r in zip(heads, rests, strict=True)], np.int64)
 
 
-#: Runs of Latin letters and runs of other characters. The tokenizer separates letters from all else, so
-#: these are whole pre-tokens or sequences of them; letters after an apostrophe stay with it ("'s").
-_RUNS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[^A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?:(?<=')[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)?")
-#: Characters outside of ASCII and Latin letters: combining marks, other scripts, other white space.
-_OTHER = re.compile(r"[^\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+#: Bytes that make a chunk special: controls, the apostrophe, and UTF-8 parts outside of Latin letters.
+_SPECIAL = np.zeros(256, bool)
+_SPECIAL[[*range(0x20), 0x27, 0x7F, 0xC0, 0xC1, 0xC2, *range(0xCA, 0x100)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def units(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes (A-Z lower-cased where that is safe), starts and ends of the units to encode by themselves.
+
+    A chunk between white space of ASCII is cut where letters and other characters meet: the tokenizer
+    separates them. A chunk with an apostrophe ("'s" goes with its letters), "<|" (special tokens),
+    controls, combining marks or other scripts stays whole.
+    """
+    plain = K.PLAIN[raw]
+    starts, ends = K.spans(plain, bounds)
+    special = _SPECIAL[raw] & plain
+    if len(raw) > 1:
+        special[:-1] |= (raw[:-1] == 0x3C) & (raw[1:] == 0x7C)
+        special[:-1] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+    seen = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum(special, out=seen[1:])
+    odd = seen[ends] > seen[starts]
+    whole = np.zeros(len(raw) + 1, np.int8)
+    whole[starts[odd]] += 1
+    whole[ends[odd]] -= 1
+    whole = np.cumsum(whole[:-1], dtype=np.int8).astype(bool)
+    letter = _LETTER[raw]
+    begin = np.zeros(len(raw) + 1, bool)
+    begin[1:-1] = (letter[1:] != letter[:-1]) & ~whole[1:] & plain[1:] & plain[:-1]
+    begin[starts] = True
+    stop = begin.copy()
+    stop[starts] = False
+    stop[ends] = True
+    return np.where(whole, raw, K.LOWER[raw]), np.flatnonzero(begin[:-1]), np.flatnonzero(stop)
 
 
 class WordEncoder:
-    """Token ids for a tokenizer that drops white space and encodes each word by itself, as bytes of dtype.
+    """Token ids for a tokenizer that drops white space and encodes each word by itself.
 
-    Chunks between blanks are looked up first; an unknown chunk is put together from its runs, where its
-    characters make that safe, and only an unknown run goes to the library.
+    Distinct units are looked up by a 64-bit hash in sorted arrays; only unknown ones go to the library.
     """
 
+    MOST = 1_500_000
+
     def __init__(self, path: str):
+        self.path = path
         self.dtype = np.dtype("<u2") if tokenizer(path).get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.chunks: dict[str, bytes] = {}
-        self.runs = ChunkCache(path, "", lambda ids: np.array(ids, self.dtype).tobytes())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > CACHE_ENTRIES:
-            self.chunks = {}
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [c for c in (set().union(*parts) if parts else ()) if c not in self.chunks]
-        split = [[c] if "<|" in c or _OTHER.search(c) else [r.lower() if r.isascii() else r for r in _RUNS.findall(c)] for c in new]
-        known = self.runs.learn(set().union(*split) if split else set())
-        found = {c: b"".join(map(known.__getitem__, s)) for c, s in zip(new, split, strict=True)}
-        short = {c: v for c, v in found.items() if len(c) <= LONG_CHUNK}
-        self.chunks.update(short)
-        look = self.chunks if len(short) == len(found) else _Both(found, self.chunks)
-        return [b"".join(map(look.__getitem__, p)) for p in parts]
+        self.forget()
+
+    def forget(self):
+        self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.dtype)
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        ids = [e.ids for batch in byte_balanced(texts) for e in tokenizer(self.path).encode_batch_fast(batch, add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = len(self.ids) + np.cumsum(n) - n
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), self.dtype, int(n.sum()))])
+        places = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.at, self.n = np.insert(self.hashes, places, hashes), np.insert(self.at, places, at), np.insert(self.n, places, n)
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each closed by end_id, and n + 1 bounds."""
+        raw, bounds = K.text_bytes(column)
+        raw, starts, ends = units(raw, bounds)
+        keys = K.span_hashes(raw, starts, ends)
+        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.hashes) > self.MOST:
+            self.forget()
+        place = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        unknown = np.flatnonzero(self.hashes[place] != distinct) if len(self.hashes) else np.arange(len(distinct))
+        if len(unknown):
+            data = raw.tobytes()
+            self._learn(distinct[unknown], [data[a:b].decode() for a, b in zip(starts[first[unknown]].tolist(), ends[first[unknown]].tolist(), strict=True)])
+        place = np.searchsorted(self.hashes, distinct)[back]
+        n, at = self.n[place], self.at[place]
+        before = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=before[1:])
+        words = K.per_document(bounds, starts)
+        out_bounds = before[words] + np.arange(len(bounds))
+        flat = self.ids[np.repeat(at - before[:-1], n) + np.arange(before[-1])]
+        out = np.empty(len(flat) + len(bounds) - 1, self.dtype)
+        last = np.zeros(len(out), bool)
+        last[out_bounds[1:] - 1] = True
+        out[last], out[~last] = end_id, flat
+        return out, out_bounds
 
 
 _made: dict[tuple, object] = {}

@@ -26,17 +26,16 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
 
     def run(batches):
         encoder, part, before = of_worker(WordEncoder, tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], encoder.dtype).tobytes()
         for whole in batches:
             for batch in byte_slices(whole, "text"):
-                ids = [x + end for x in encoder.encode(batch.column("text").fill_null("").to_pylist())]
-                n = np.array([len(x) // encoder.dtype.itemsize for x in ids], np.int64)
-                starts = before + np.cumsum(n) - n
-                before += int(n.sum())
+                ids, bounds = encoder.encode(batch.column("text"), end_id)
+                size, n = encoder.dtype.itemsize, np.diff(bounds)
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(bounds * size), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int64)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
+                    [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int64)), pa.array(before + bounds[:-1]), pa.array(n), packed.cast(pa.binary())],
                     names=["doc_id", "part", "before", "n", "ids"],
                 )
+                before += int(bounds[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, part bigint, before bigint, n bigint, ids binary")

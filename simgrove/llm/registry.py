@@ -26,6 +26,12 @@ def op4_line_frequency(spark, sf_dir):
     return quality(documents(spark, sf_dir)).drop("content")
 
 
+def op5_nearest_neighbours(spark, sf_dir):
+    from .neighbours import nearest_neighbours
+
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_token_counts(spark, sf_dir):
     from .token_counts import count_tokens
 
@@ -44,5 +50,5 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pack_sequences, op4_line_frequency, op8_token_counts, op9_license_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_pack_sequences, op4_line_frequency, op5_nearest_neighbours, op8_token_counts, op9_license_scan, op10_toxicity)}
 ORACLES: dict[str, str] = {}
