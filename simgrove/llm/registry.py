@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .line_windows import ORACLE_SQL as LINE_WINDOWS_SQL
 from .store import documents
 
 
@@ -13,6 +14,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_source_mix(spark, sf_dir):
+    from .mixing import repeats
+
+    return repeats(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 def op3_pack_sequences(spark, sf_dir):
     from .packing import pack
 
@@ -32,6 +39,13 @@ def op5_nearest_neighbours(spark, sf_dir):
     return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op6_line_windows(spark, sf_dir):
+    from .line_windows import remove_repeated_windows
+
+    cleaned = remove_repeated_windows(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark, sf_dir):
     from .token_counts import count_tokens
 
@@ -50,5 +64,5 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pack_sequences, op4_line_frequency, op5_nearest_neighbours, op8_token_counts, op9_license_scan, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_pack_sequences, op4_line_frequency, op5_nearest_neighbours, op6_line_windows, op8_token_counts, op9_license_scan, op10_toxicity)}
+ORACLES: dict[str, str] = {"op6_line_windows": LINE_WINDOWS_SQL}
