@@ -14,6 +14,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import remove_repeated_bytes
+
+    found = remove_repeated_bytes(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_source_mix(spark, sf_dir):
     from .mixing import repeats
 
@@ -64,5 +71,5 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_pack_sequences, op4_line_frequency, op5_nearest_neighbours, op6_line_windows, op8_token_counts, op9_license_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_pack_sequences, op4_line_frequency, op5_nearest_neighbours, op6_line_windows, op8_token_counts, op9_license_scan, op10_toxicity)}
 ORACLES: dict[str, str] = {"op6_line_windows": LINE_WINDOWS_SQL}
