@@ -53,6 +53,12 @@ def op6_line_windows(spark, sf_dir):
     return cleaned.select("doc_id", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_jaccard_components(spark, sf_dir):
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_token_counts(spark, sf_dir):
     from .token_counts import count_tokens
 
@@ -71,5 +77,5 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_pack_sequences, op4_line_frequency, op5_nearest_neighbours, op6_line_windows, op8_token_counts, op9_license_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_pack_sequences, op4_line_frequency, op5_nearest_neighbours, op6_line_windows, op7_jaccard_components, op8_token_counts, op9_license_scan, op10_toxicity)}
 ORACLES: dict[str, str] = {"op6_line_windows": LINE_WINDOWS_SQL}

@@ -31,7 +31,7 @@ class Workspace:
     def keep(self, df: DataFrame, name: str, collect_garbage: bool = False) -> DataFrame:
         """Write df once and return it as read back. With collect_garbage, shuffle files that fed it are released."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "snappy").parquet(path)
         if collect_garbage:
             import gc
 
