@@ -161,7 +161,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("ord").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
     right = sets.select(F.col("ord").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
     both = F.size(F.array_intersect("tu", "tv")).cast("bigint")
-    return pairs.join(left, "u").join(right, "v").select("u", "v", both.alias("both"), (F.col("nu") + F.col("nv") - both).alias("either"))
+    return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", both.alias("both"), (F.col("nu") + F.col("nv") - both).alias("either"))
 
 
 def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -182,15 +182,15 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     found = space.keep(found, "found", collect_garbage=True)
     extra = F.ceil(0.75 * EXTRA * F.col("n")) if percent == 75 else F.ceil(percent / 100 * EXTRA * F.col("n"))
     small = first.filter("carries and n > 0").select("ord", "n", "c1", "c2", "own")
-    passed = small.join(found, "ord", "left").filter(F.col("own") + F.coalesce("found", F.lit(0)) >= F.greatest(F.lit(1), extra)).select("c1", "c2", "n").distinct()
+    passed = small.join(found.hint("merge"), "ord", "left").filter(F.col("own") + F.coalesce("found", F.lit(0)) >= F.greatest(F.lit(1), extra)).select("c1", "c2", "n").distinct()
     passed = space.keep(passed.join(classes, ["c1", "c2"]).select(F.col("rep").alias("ord"), "n"), "passed", collect_garbage=True)
 
-    texts = ordered.select("ord", "text").join(passed.select("ord"), "ord", "left_semi")
+    texts = ordered.select("ord", "text").join(passed.select("ord").hint("merge"), "ord", "left_semi")
     whole = space.keep(texts.mapInArrow(_whole_sets, "ord bigint, tokens array<bigint>").dropDuplicates(["ord"]), "whole", collect_garbage=True)
     tokens = whole.select("ord", F.explode("tokens").alias("token"))
     often = space.keep(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often", collect_garbage=True)
-    shared = tokens.join(often, "token").groupBy("ord").agg(F.collect_list(F.struct("token", "often")).alias("shared"))
-    shared = shared.join(passed, "ord").filter(100 * F.size("shared") >= percent * F.col("n"))
+    shared = tokens.join(often.hint("merge"), "token").groupBy("ord").agg(F.collect_list(F.struct("token", "often")).alias("shared"))
+    shared = shared.join(passed.hint("merge"), "ord").filter(100 * F.size("shared") >= percent * F.col("n"))
     sets = shared.select("ord", "n", "shared").mapInArrow(_prefixes(percent), "ord bigint, n bigint, tokens array<bigint>, " + ", ".join(f"p{i} array<bigint>" for i in range(ORDERS)))
     sets = space.keep(sets, "sets", collect_garbage=True)
     for name in ("whole", "often"):
@@ -235,7 +235,7 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     columns = ["u", "v", "both", "either"]
     links = near.select(columns).unionByName(meet.select(columns)).unionByName(rest.select(columns)).filter(linked)
     links = space.keep(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "both", "either").distinct(), "links")
-    documents = first.select("ord", "doc_id", "n", "c1", "c2").join(classes, ["c1", "c2"], "left").select("ord", "doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
+    documents = first.select("ord", "doc_id", "n", "c1", "c2").join(classes.hint("merge"), ["c1", "c2"], "left").select("ord", "doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     return documents, links
 
 

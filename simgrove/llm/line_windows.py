@@ -37,14 +37,14 @@ def _windows(docs: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, space: Workspace) -> DataFrame:
     """doc_id, content, starts: the first lines of the windows that begin earlier elsewhere. docs: doc_id, content, text.
 
-    The least place of each window is found by partial minima, so a window of a third of all documents
+    Joins name their strategy, so that the plan is the same at every size. The least place of each window is found by partial minima, so a window of a third of all documents
     costs a row per task; only windows that stand more than once are kept to mark the later ones.
     """
     windows = _windows(docs)
     place = F.struct("doc_id", "content", "at")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = space.keep(first.filter("first < last").select("h1", "h2", "first"), "first", collect_garbage=True)
-    later = windows.join(first, ["h1", "h2"]).filter(F.col("first") < place)
+    later = windows.join(first.hint("merge"), ["h1", "h2"]).filter(F.col("first") < place)
     return later.groupBy("doc_id", "content").agg(F.collect_set("at").alias("starts"))
 
 
@@ -90,7 +90,7 @@ def remove_repeated_windows(docs: DataFrame) -> DataFrame:
     marked = space.keep(repeated_windows(given, space), "marked", collect_garbage=True)
     marked = marked.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("starts").alias("_starts"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(marked, keyed["doc_id"].eqNullSafe(marked["_id"]) & (keyed["_key"] == marked["_content"]), "left").select(*columns, "_starts")
+    joined = keyed.join(marked.hint("merge"), keyed["doc_id"].eqNullSafe(marked["_id"]) & (keyed["_key"] == marked["_content"]), "left").select(*columns, "_starts")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     new = ["n_removed", "n_spans", "removed"]
     return joined.mapInArrow(_clean([*columns, *new]), ", ".join([*kinds, "n_removed bigint", "n_spans bigint", "removed array<bigint>"]))

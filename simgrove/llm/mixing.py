@@ -203,7 +203,7 @@ def repeats(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3
         extra = settled[0]
         for s in settled[1:]:
             extra = extra.unionByName(s)
-        out = out.join(extra, "row", "left")
+        out = out.join(extra.hint("merge"), "row", "left")
     else:
         out = out.withColumn("extra", F.lit(0))
     times = (F.col("base") + F.coalesce("extra", F.round("p"), F.lit(0))).cast("int")
@@ -217,7 +217,7 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     chosen = space.keep(chosen.filter("_times > 0"), "chosen", collect_garbage=True)
     # Equal rows share a key; their repeats are dealt over them by number.
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("source").cast("string"), F.col("text").cast("string")))
-    joined = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["_id"]) & (keyed["_key"] == chosen["_content"]))
+    joined = keyed.join(chosen.hint("merge"), keyed["doc_id"].eqNullSafe(chosen["_id"]) & (keyed["_key"] == chosen["_content"]))
     single = joined.filter("_rows = 1").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
     number = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_key"))
     several = joined.filter("_rows > 1").withColumn("_r", number).filter("_r = 1").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))

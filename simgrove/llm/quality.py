@@ -125,8 +125,8 @@ def quality(docs: DataFrame, min_documents: int = 50, host_share: float = 0.10,
     hosts = stats.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
     above = seen.join(hosts, "host").filter((F.col("texts") > host_share * F.col("host_texts")) & (F.col("ways") >= varied * F.col("texts")))
     above = space.keep(above.select("host", "line"), "above")
-    lost = exploded.select("row", "host", "line", "words").join(above, ["host", "line"]).groupBy("row").agg(F.count(F.lit(1)).alias("n_lines_removed"), F.sum("words").alias("gone"))
-    judged = stats.drop("lines").join(lost, "row", "left").fillna(0, ["n_lines_removed", "gone"])
+    lost = exploded.select("row", "host", "line", "words").join(above.hint("merge"), ["host", "line"]).groupBy("row").agg(F.count(F.lit(1)).alias("n_lines_removed"), F.sum("words").alias("gone"))
+    judged = stats.drop("lines").join(lost.hint("merge"), "row", "left").fillna(0, ["n_lines_removed", "gone"])
     left = F.col("n_words") - F.col("gone")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (F.col("gone") > 0) & ((left < min_words) | (left < left_share * F.col("n_words")))
@@ -139,4 +139,4 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     space = Workspace(docs.sparkSession, "quality-rejects")
     verdicts = quality(docs, **limits)
     rejects = space.keep(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct(), "rejects", collect_garbage=True)
-    return docs.join(rejects, docs["doc_id"].eqNullSafe(rejects["_id"]) & (F.xxhash64(docs["text"]) == rejects["_content"]), "left_anti")
+    return docs.join(rejects.hint("merge"), docs["doc_id"].eqNullSafe(rejects["_id"]) & (F.xxhash64(docs["text"]) == rejects["_content"]), "left_anti")

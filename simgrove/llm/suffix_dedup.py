@@ -339,7 +339,7 @@ def repeated_bytes(docs: DataFrame, space: Workspace, length: int) -> DataFrame:
     hot = space.keep(contested.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")).filter("parts > 1"), "hot")
     dealt = contested.join(hot, "key", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("ord", "start"), "parts")))
     wanted = dealt.groupBy("ord").agg(F.collect_list(F.struct("key", "part", "start", "length", "windows")).alias("found"))
-    held = docs.select("ord", "text").join(wanted, "ord").select("ord", F.col("text").cast("binary").alias("text"), "found")
+    held = docs.select("ord", "text").join(wanted.hint("merge"), "ord").select("ord", F.col("text").cast("binary").alias("text"), "found")
     pieces = held.mapInArrow(_extract, "key bigint, part bigint, ord bigint, start bigint, windows int, segment binary")
     blocks = pieces.repartition(width, "key", "part").sortWithinPartitions("key", "part", "ord", "start")
     found = space.keep(blocks.mapInArrow(_sort_blocks(length), "kind int, ord bigint, start bigint, length bigint, h1 bigint, h2 bigint"), "found", collect_garbage=True)
@@ -393,6 +393,6 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     ordered = in_document_order(docs, space)
     covered = repeated_bytes(ordered, space, length).groupBy("ord").agg(F.collect_list(F.struct("start", "length")).alias("found"))
     covered = space.keep(covered, "covered", collect_garbage=True)
-    joined = ordered.join(covered, "ord", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "found")
+    joined = ordered.join(covered.hint("merge"), "ord", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "found")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_remove, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<start:bigint,end:bigint>>")
