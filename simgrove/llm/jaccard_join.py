@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -80,8 +80,8 @@ def _first_filter(percent: int):
                     lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(token[mask][at].view(np.int64))))
                 own = np.bincount(owner[shared], minlength=rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("ord"), batch.column("doc_id"), pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(carries), pa.array(own.astype(np.int64)), *lists],
-                    names=["ord", "doc_id", "n", "c1", "c2", "carries", "own", "send", "show"],
+                    [batch.column("ord"), batch.column("doc_id"), batch.column("content"), pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(carries), pa.array(own.astype(np.int64)), *lists],
+                    names=["ord", "doc_id", "content", "n", "c1", "c2", "carries", "own", "send", "show"],
                 )
 
     return run
@@ -165,13 +165,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(documents, links). documents: ord, doc_id, n, rep (least ord of the class, null for an empty set);
+    """(documents, links). documents: ord, doc_id, content, n, rep (least ord of the class, null for an empty set);
     links: u, v, both, either between class representatives, enough of them to connect all that are linked."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
     ordered = in_document_order(docs, space)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    first = ordered.mapInArrow(_first_filter(percent), f"ord bigint, doc_id {kind}, n bigint, c1 bigint, c2 bigint, carries boolean, own bigint, send array<bigint>, show array<bigint>")
+    first = ordered.mapInArrow(_first_filter(percent), f"ord bigint, doc_id {kind}, content bigint, n bigint, c1 bigint, c2 bigint, carries boolean, own bigint, send array<bigint>, show array<bigint>")
     first = space.keep(first, "first")
     classes = first.filter("n > 0").groupBy("c1", "c2").agg(F.min("ord").alias("rep"))
     classes = space.keep(classes, "classes")
@@ -235,12 +235,12 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     columns = ["u", "v", "both", "either"]
     links = near.select(columns).unionByName(meet.select(columns)).unionByName(rest.select(columns)).filter(linked)
     links = space.keep(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "both", "either").distinct(), "links")
-    documents = first.select("ord", "doc_id", "n", "c1", "c2").join(classes.hint("merge"), ["c1", "c2"], "left").select("ord", "doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
+    documents = first.select("ord", "doc_id", "content", "n", "c1", "c2").join(classes.hint("merge"), ["c1", "c2"], "left").select("ord", "doc_id", "content", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     return documents, links
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, ord and least (ord of the document and the least
+    """One row per row of docs: doc_id, content (hash of the text), n_shingles, component_id, ord and least (ord of the document and the least
     ord of its component).
 
     Sets: distinct shingles of five words, A-Z lower-cased; a text of fewer words is one shingle; a null or
@@ -261,4 +261,20 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     known = space.keep(joined.select("rep", "label").join(ids, "label"), "class-components")
     out = documents.join(known, "rep", "left")
     alone = F.col("rep").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "ord", F.when(alone, F.col("ord")).otherwise(F.col("label")).alias("least"))
+    return out.select("doc_id", "content", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "ord", F.when(alone, F.col("ord")).otherwise(F.col("label")).alias("least"))
+
+
+def keep_one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of docs that come first (by doc_id) in their component, with all their columns. Of equal rows
+    with words one stays; rows without words all stay."""
+    space = Workspace(docs.sparkSession, "jaccard-kept")
+    found = jaccard_components(docs, percent)
+    kept = found.filter("ord = least").groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.count(F.lit(1)).alias("_rows"), F.max("n_shingles").alias("_n"))
+    kept = space.keep(kept, "kept", collect_garbage=True)
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
+    joined = keyed.join(kept.hint("merge"), keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_content"]))
+    several = (F.col("_rows") > 1) & (F.col("_n") > 0)
+    if not kept.filter(several).limit(1).count():
+        return joined.select(*[keyed[c] for c in docs.columns])
+    place = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
+    return joined.withColumn("_place", place).filter(~several | (F.col("_place") == 1)).select(*docs.columns)

@@ -58,7 +58,7 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def in_document_order(docs: DataFrame, space: Workspace) -> DataFrame:
-    """doc_id, text and ord of each row: a bigint that orders documents by doc_id.
+    """doc_id, text, content (a hash of the text) and ord of each row: a bigint that orders documents by doc_id.
 
     Where doc_id is unique and never null, ord is doc_id itself. Otherwise documents are the distinct pairs
     of doc_id (null first) and text, ordered by doc_id and then by a hash of the text; equal rows share an ord.
@@ -68,10 +68,11 @@ def in_document_order(docs: DataFrame, space: Workspace) -> DataFrame:
     from pyspark.sql import functions as F
 
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    given = given.withColumn("content", F.xxhash64("text"))
     whole = docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     repeated = given.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if whole and not repeated.limit(1).count():
-        return given.select("doc_id", "text", F.col("doc_id").cast("bigint").alias("ord"))
+        return given.select("doc_id", "text", "content", F.col("doc_id").cast("bigint").alias("ord"))
 
     def number(batches):
         import numpy as np
@@ -83,12 +84,11 @@ def in_document_order(docs: DataFrame, space: Workspace) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], names=[*b.schema.names, "part", "at"])
             at += n
 
-    keyed = given.withColumn("content", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ordered = keyed.select("doc_id", "content").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "content")
+    ordered = given.select("doc_id", "content").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "content")
     places = space.keep(ordered.mapInArrow(number, f"doc_id {kind}, content bigint, part int, at bigint"), "places")
     totals = space.keep(places.groupBy("part").count(), "place-totals")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))
     places = places.join(bases, "part").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), (F.col("base") + F.col("at")).alias("ord"))
-    return keyed.join(places, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))).select("doc_id", "text", "ord")
+    return given.join(places, given["doc_id"].eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))).select("doc_id", "text", "content", "ord")
