@@ -33,6 +33,8 @@ SHINGLE = 5
 #: Share of a set that the first filter wants in common beyond a single token (l = EXTRA * n).
 EXTRA = 0.125
 ORDERS = 3
+#: Further pivots of a list for sets that the first ones did not take.
+MORE_PIVOTS = 4
 
 
 def _need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -208,6 +210,16 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     linked = 100 * F.col("both") >= percent * F.col("either")
     distance = 1 - F.col("both") / F.col("either")
 
+    # Sets that no pivot took are held against further pivots of their lists, drawn from the sets that were taken.
+    taken = near.filter(linked).select("u").unionByName(near.filter(linked).select(F.col("v").alias("u"))).distinct().select(F.col("u").alias("ord"), F.lit(True).alias("taken"))
+    marked = space.keep(postings[0].join(taken, "ord", "left"), "marked")
+    draws = [F.min(F.when(F.col("taken"), F.struct(F.xxhash64("ord", F.lit(10 + i)).alias("hash"), "ord", "n"))).alias(f"d{i}") for i in range(MORE_PIVOTS)]
+    more = marked.groupBy("token").agg(*draws, F.max(F.col("taken").isNull()).alias("open")).filter("open and d0 is not null")
+    more = marked.filter("taken is null").join(more, "token").select(F.col("ord").alias("u"), F.col("n").alias("nu"), F.explode(F.array(*[f"d{i}" for i in range(MORE_PIVOTS)])).alias("pivot"))
+    more = more.select("u", "nu", F.col("pivot.ord").alias("v"), F.col("pivot.n").alias("nv")).distinct().filter(fits).select("u", "v")
+    more = space.keep(more.join(near.select("u", "v"), ["u", "v"], "left_anti"), "more")
+    near = near.unionByName(space.keep(_verified(more, sets), "more-verified", collect_garbage=True))
+
     # A set's leader: the linked pivot at the least distance, or itself.
     leader = near.filter(linked).groupBy("u").agg(F.min(F.struct(distance.alias("away"), F.col("v").alias("lead"))).alias("l")).select(F.col("u").alias("ord"), "l.away", "l.lead")
     groups = components(near.filter(linked), space, "star").select(F.col("node").alias("ord"), "label")
