@@ -171,7 +171,7 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     links: u, v, both, either between class representatives, enough of them to connect all that are linked."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    ordered = in_document_order(docs, space)
+    ordered, _ = in_document_order(docs, space)
     kind = docs.schema["doc_id"].dataType.simpleString()
     first = ordered.mapInArrow(_first_filter(percent), f"ord bigint, doc_id {kind}, content bigint, n bigint, c1 bigint, c2 bigint, carries boolean, own bigint, send array<bigint>, show array<bigint>")
     first = space.keep(first, "first")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .store import Workspace
 
 #: Units that fly together at most.
-BLOCK = 20_000
+BLOCK = 2_000
 EPS = 1e-9
 
 

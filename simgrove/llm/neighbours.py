@@ -196,7 +196,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = 5, ta
     if short.limit(1).count():
         blocks = max(1, math.ceil(n / CELL_ROWS))
         every_row = classes.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("ids"), F.lit(blocks)).alias("part"), "ids", "v")
-        everywhere = short.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("part"), "query_id", "v")
+        everywhere = short.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("part"), "query_id", "v")
         whole = everywhere.groupBy("dim", "part").cogroup(every_row.groupBy("dim", "part")).applyInArrow(lambda a, b: _rank(a, b, nearest), schema)
         found = found.unionByName(whole).distinct()
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -27,7 +27,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
     def run(batches):
         encoder, part, before = of_worker(WordEncoder, tokenizer_path), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in byte_slices(whole, "text"):
+            for batch in byte_slices(whole, "text", 4_000_000):
                 ids, bounds = encoder.encode(batch.column("text"), end_id)
                 size, n = encoder.dtype.itemsize, np.diff(bounds)
                 packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(bounds * size), pa.py_buffer(ids)])

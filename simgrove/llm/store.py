@@ -57,8 +57,9 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_document_order(docs: DataFrame, space: Workspace) -> DataFrame:
-    """doc_id, text, content (a hash of the text) and ord of each row: a bigint that orders documents by doc_id.
+def in_document_order(docs: DataFrame, space: Workspace) -> tuple[DataFrame, bool]:
+    """doc_id, text, content (a hash of the text) and ord of each row: a bigint that orders documents by doc_id;
+    and whether no two rows share an ord.
 
     Where doc_id is unique and never null, ord is doc_id itself. Otherwise documents are the distinct pairs
     of doc_id (null first) and text, ordered by doc_id and then by a hash of the text; equal rows share an ord.
@@ -72,7 +73,7 @@ def in_document_order(docs: DataFrame, space: Workspace) -> DataFrame:
     whole = docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     repeated = given.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if whole and not repeated.limit(1).count():
-        return given.select("doc_id", "text", "content", F.col("doc_id").cast("bigint").alias("ord"))
+        return given.select("doc_id", "text", "content", F.col("doc_id").cast("bigint").alias("ord")), True
 
     def number(batches):
         import numpy as np
@@ -91,4 +92,4 @@ def in_document_order(docs: DataFrame, space: Workspace) -> DataFrame:
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))
     places = places.join(bases, "part").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), (F.col("base") + F.col("at")).alias("ord"))
-    return given.join(places, given["doc_id"].eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))).select("doc_id", "text", "content", "ord")
+    return given.join(places, given["doc_id"].eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))).select("doc_id", "text", "content", "ord"), False

@@ -255,6 +255,8 @@ class RepeatArray:
         lcp, before = self.lcp.tolist(), self.before.tolist()
         active = np.flatnonzero(self.lcp[:-1] | self.lcp[1:])
         # Groups with no interval above them are far apart: each run of active places is scanned by itself.
+        if not len(active):
+            return
         cuts = np.flatnonzero(self.lcp[active] == 0)
         for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(active)).tolist(), strict=True):
             start, end = int(active[lo]), int(active[hi - 1])
@@ -330,7 +332,7 @@ def _sort_blocks(length: int):
 
 
 def repeated_bytes(docs: DataFrame, space: Workspace, length: int) -> DataFrame:
-    """ord, start, length of runs to remove (they may overlap). docs: ord, text."""
+    """ord, start, length of runs to remove (they may overlap). docs: ord (unique), text."""
     width = shuffle_width(docs.sparkSession)
     cut = docs.select("ord", "text").mapInArrow(_cut(length), SEGMENTS)
     sorted_ = cut.repartition(width, "key").sortWithinPartitions("key", "a", "b", "ord", "at")
@@ -390,8 +392,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     row. Texts shorter than `length` are whole. An empty table gives no rows; other columns are ignored.
     """
     space = Workspace(docs.sparkSession, "suffix-dedup")
-    ordered = in_document_order(docs, space)
-    covered = repeated_bytes(ordered, space, length).groupBy("ord").agg(F.collect_list(F.struct("start", "length")).alias("found"))
+    ordered, unique = in_document_order(docs, space)
+    covered = repeated_bytes(ordered if unique else ordered.dropDuplicates(["ord"]), space, length).groupBy("ord").agg(F.collect_list(F.struct("start", "length")).alias("found"))
     covered = space.keep(covered, "covered", collect_garbage=True)
     joined = ordered.join(covered.hint("merge"), "ord", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "found")
     kind = docs.schema["doc_id"].dataType.simpleString()

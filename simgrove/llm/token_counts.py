@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from .encoding import TokenCounter, of_worker
 
-#: Bytes of text that are counted at once within an Arrow batch.
-SLICE_BYTES = 8_000_000
+#: Bytes of text that are worked on at once within an Arrow batch; kernels take some 100 bytes of memory for each.
+SLICE_BYTES = 2_000_000
 
 
-def byte_slices(batch: pa.RecordBatch, column: str):
-    """The batch in slices of about SLICE_BYTES of that column; one row at least."""
+def byte_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
+    """The batch in slices of about `most` bytes of that column; one row at least."""
     size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy()
     at, held = 0, 0
     for i, n in enumerate(size):
         held += int(n)
-        if held >= SLICE_BYTES:
+        if held >= most:
             yield batch.slice(at, i + 1 - at)
             at, held = i + 1, 0
     if at < batch.num_rows:
