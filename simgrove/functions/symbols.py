@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,8 +63,6 @@ def stem(text: str) -> str:
 
 def stem_symbol(name) -> Column:
     """SQL for the replacements, one Arrow function for the bracket-aware part."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def stems(names: pd.Series) -> pd.Series:
         return names.map(lambda n: None if n is None else stem(n))

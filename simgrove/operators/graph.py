@@ -45,7 +45,10 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def hops(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     """graph_id, start, node, hop: distance from each start (graph_id, start) along the edges, up to most.
 
-    One join per hop; nodes that were reached before go at once, so cycles don't multiply rows."""
+    One join per hop; nodes that were reached before go at once, so cycles don't multiply rows. Each hop
+    reads all before it, so the plan doubles: for a few hops, bfs_order for more."""
+    if most > 4:
+        raise ValueError("more than four hops: use bfs_order")
     found = starts.select("graph_id", "start", F.col("start").alias("node"), F.lit(0).alias("hop"))
     step = edges.select("graph_id", F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
     front = found

@@ -21,16 +21,18 @@ def index_entries(functions: DataFrame, permutations: int = 28) -> DataFrame:
 
 
 def assign_ids(functions: DataFrame, largest: int = 0) -> DataFrame:
-    """Adds function_id: largest + 1, + 2, ... in order of (file_id, address, hash).
-
-    Two passes: rows are ranged over partitions and counted, then numbered within; no task sees all rows."""
-    placed = functions.repartitionByRange("file_id", "address", "hash_a", "hash_b").sortWithinPartitions("file_id", "address", "hash_a", "hash_b")
-    placed = placed.withColumn("_m", F.monotonically_increasing_id())
-    part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    return placed.withColumn("_p", part).join(F.broadcast(bases), "_p").withColumn("function_id", F.lit(largest) + F.col("_base") + at + 1).drop("_p", "_m", "_base")
+    """Adds function_id: largest + 1, + 2, ... without gaps; the same rows get the same ids in any run.
+
+    Two passes: rows are dealt over blocks by hash and counted, then numbered within their block in order of
+    (file_id, address, hash). Blocks depend on values only, so both passes agree; no task sees all rows."""
+    key = ["file_id", "address", "hash_a", "hash_b"]
+    blocks = int(functions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = functions.withColumn("_block", F.pmod(F.xxhash64(*key), F.lit(blocks)))
+    counts = dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(*key))
+    return dealt.withColumn("_at", place).join(F.broadcast(bases), "_block").withColumn("function_id", F.lit(largest) + F.col("_base") + F.col("_at")).drop("_block", "_at", "_base")
 
 
 class SimHashIndex:

