@@ -29,9 +29,10 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str, collect_garbage: bool = False) -> DataFrame:
-        """Write df once and return it as read back. With collect_garbage, shuffle files that fed it are released."""
+        """Write df once and return it as read back. Most columns are hashes, so no codec: its buffers lie outside the
+        heap. With collect_garbage, shuffle files that fed it are released."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "snappy").parquet(path)
+        df.write.mode("overwrite").option("compression", "none").parquet(path)
         if collect_garbage:
             import gc
 
