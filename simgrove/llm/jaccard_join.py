@@ -9,8 +9,8 @@ Each order gives such a filter; a pair must pass them all before it is verified.
 * Second order (rarest first), the documents left, with true frequencies: a document needs t of its
   tokens shared. Orders that rank equally frequent tokens differently give three prefixes per document;
   candidates must share a token in each of them.
-* Sets linked to one pivot are connected already, and Jaccard distance is a metric, so of the
-  candidates between two clusters only those that distances to the pivots don't rule out are verified.
+* Sets linked to one pivot are connected already, and Jaccard distance is a metric, so clusters are compared
+  only where the distances to their pivots allow a link, a set with a chunk of a cluster at a time.
   So no group of copies is expanded into all its pairs, and no link between clusters is lost.
 
 Equal sets are one class throughout.
@@ -33,8 +33,8 @@ SHINGLE = 5
 #: Share of a set that the first filter wants in common beyond a single token (l = EXTRA * n).
 EXTRA = 0.125
 ORDERS = 3
-#: Further pivots of a list for sets that the first ones did not take.
-MORE_PIVOTS = 4
+#: Members of a cluster that are counted at once.
+CHUNK = 500
 
 
 def _need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -166,6 +166,34 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", both.alias("both"), (F.col("nu") + F.col("nv") - both).alias("either"))
 
 
+def _best_link(percent: int):
+    """For each asking set the nearest linked member of a chunk, if any: members of a cluster are connected already,
+    so one link with them is enough."""
+
+    def run(asking: pa.Table, members: pa.Table) -> pa.Table:
+        out = []
+        if asking.num_rows and members.num_rows:
+            lists = members["tokens"].combine_chunks()
+            flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(members.num_rows), np.diff(lists.offsets.to_numpy()))
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            names, sizes = members["ord"].to_numpy(), members["n"].to_numpy()
+            for name, n, tokens in zip(asking["ord"].to_pylist(), asking["n"].to_pylist(), asking["tokens"].combine_chunks(), strict=True):
+                t = tokens.values.to_numpy()
+                lo, hi = np.searchsorted(flat, t, "left"), np.searchsorted(flat, t, "right")
+                width = hi - lo
+                at = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+                both = np.bincount(owner[at], minlength=len(names))
+                either = n + sizes - both
+                best = int(np.argmax(both / either))
+                if 100 * both[best] >= percent * either[best] and names[best] != name:
+                    out.append((name, int(names[best]), int(both[best]), int(either[best])))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("u", "v", "both", "either"), columns, strict=True)})
+
+    return run
+
+
 def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(documents, links). documents: ord, doc_id, content, n, rep (least ord of the class, null for an empty set);
     links: u, v, both, either between class representatives, enough of them to connect all that are linked."""
@@ -210,40 +238,52 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     linked = 100 * F.col("both") >= percent * F.col("either")
     distance = 1 - F.col("both") / F.col("either")
 
-    # Sets that no pivot took are held against further pivots of their lists, drawn from the sets that were taken.
-    taken = near.filter(linked).select("u").unionByName(near.filter(linked).select(F.col("v").alias("u"))).distinct().select(F.col("u").alias("ord"), F.lit(True).alias("taken"))
-    marked = space.keep(postings[0].join(taken, "ord", "left"), "marked")
-    draws = [F.min(F.when(F.col("taken"), F.struct(F.xxhash64("ord", F.lit(10 + i)).alias("hash"), "ord", "n"))).alias(f"d{i}") for i in range(MORE_PIVOTS)]
-    more = marked.groupBy("token").agg(*draws, F.max(F.col("taken").isNull()).alias("open")).filter("open and d0 is not null")
-    more = marked.filter("taken is null").join(more, "token").select(F.col("ord").alias("u"), F.col("n").alias("nu"), F.explode(F.array(*[f"d{i}" for i in range(MORE_PIVOTS)])).alias("pivot"))
-    more = more.select("u", "nu", F.col("pivot.ord").alias("v"), F.col("pivot.n").alias("nv")).distinct().filter(fits).select("u", "v")
-    more = space.keep(more.join(near.select("u", "v"), ["u", "v"], "left_anti"), "more")
-    near = near.unionByName(space.keep(_verified(more, sets), "more-verified", collect_garbage=True))
-
     # A set's leader: the linked pivot at the least distance, or itself.
     leader = near.filter(linked).groupBy("u").agg(F.min(F.struct(distance.alias("away"), F.col("v").alias("lead"))).alias("l")).select(F.col("u").alias("ord"), "l.away", "l.lead")
     groups = components(near.filter(linked), space, "star").select(F.col("node").alias("ord"), "label")
     placed = sets.select("ord").join(leader, "ord", "left").join(groups, "ord", "left").select("ord", F.coalesce("lead", "ord").alias("lead"), F.coalesce("away", F.lit(0.0)).alias("away"), F.coalesce("label", "ord").alias("label"))
     placed = space.keep(placed, "placed")
 
-    # Clusters of different groups that meet in a list of the first order.
-    seats = postings[0].select("ord", "token").join(placed, "ord").select("token", "lead", "label").distinct()
+    # Clusters of different groups that meet in a list of the first order. Two single sets meet in many lists;
+    # they are paired only at the least token that their prefixes share, so that no pair is made twice.
+    sizes = space.keep(placed.groupBy("lead").agg(F.count(F.lit(1)).alias("members")), "sizes")
+    seats = sets.select("ord", "p0").join(placed.select("ord", "lead", "label"), "ord").join(sizes.hint("merge"), "lead")
+    seats = seats.select("lead", "label", "members", F.when(F.col("members") == 1, F.array_sort("p0")).alias("prefix"), F.explode("p0").alias("token"))
     mixed = seats.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("token")
-    seats = space.keep(seats.join(mixed, "token", "left_semi"), "seats")
-    a, b = seats.select("token", F.col("lead").alias("u"), F.col("label").alias("gu")), seats.select("token", F.col("lead").alias("v"), F.col("label").alias("gv"))
-    meet = a.join(b, "token").filter("u < v and gu <> gv").select("u", "v").distinct()
-    meet = space.keep(_verified(space.keep(meet, "meet"), sets).withColumn("apart", distance), "meet-verified", collect_garbage=True)
+    seats = space.keep(seats.join(mixed.hint("merge"), "token", "left_semi"), "seats")
+    several = seats.filter("members > 1").select("token", "lead", "label").distinct()
+    single = seats.filter("members = 1")
+    a, b = (single.select("token", F.col("lead").alias(c), F.col("label").alias(f"g{c}"), F.col("prefix").alias(f"p{c}")) for c in "uv")
+    alone = a.join(b, (a["token"] == b["token"]) & (a["u"] < b["v"]) & (F.array_min(F.array_intersect("pu", "pv")) == a["token"])).select("u", "v")
+    a = several.select("token", F.col("lead").alias("u"), F.col("label").alias("gu"))
+    b = seats.select("token", F.col("lead").alias("v"), F.col("label").alias("gv"), F.col("members").alias("mv")).distinct()
+    crowd = a.join(b, "token").filter("gu <> gv and (mv = 1 or u < v)").select("u", "v").distinct()
+    # Single sets are candidates themselves and must pass every order; leaders only stand for their clusters.
+    prefix = [sets.select(F.col("ord").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"p{i}").alias(f"p{i}{c}") for i in range(1, ORDERS)]) for c in "uv"]
+    alone = alone.join(prefix[0].hint("merge"), "u").join(prefix[1].hint("merge"), "v").filter(fits)
+    for i in range(1, ORDERS):
+        alone = alone.filter(F.arrays_overlap(f"p{i}u", f"p{i}v"))
+    meet = space.keep(alone.select("u", "v").unionByName(crowd), "meet", collect_garbage=True)
+    meet = space.keep(_verified(meet, sets).withColumn("apart", distance), "meet-verified", collect_garbage=True)
+
+    # Members of clusters that distances to the pivots don't separate, in blocks: the larger cluster is cut into
+    # chunks, and each member of the other one is counted against a whole chunk at once.
     slack = 1 - percent / 100 + 1e-9
-    open_ = meet.filter(F.col("apart") <= 3 * slack).select(F.col("u").alias("lu"), F.col("v").alias("lv"), "apart")
-    members = [placed.select(F.col("lead").alias(f"l{c}"), F.col("ord").alias(c), F.col("away").alias(f"a{c}"), F.col("label").alias(f"g{c}")) for c in "uv"]
-    spread = open_.join(members[0], "lu").filter(F.col("au") >= F.col("apart") - 2 * slack)
-    spread = spread.join(members[1], "lv").filter(F.col("au") + F.col("av") >= F.col("apart") - slack).filter("(u <> lu or v <> lv) and gu <> gv").select("u", "v")
-    prefix = [sets.select(F.col("ord").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"p{i}").alias(f"p{i}{c}") for i in range(ORDERS)]) for c in "uv"]
-    spread = space.keep(spread, "spread", collect_garbage=True)
-    rest = spread.join(prefix[0], "u").join(prefix[1], "v").filter(fits)
-    for i in range(ORDERS):
-        rest = rest.filter(F.arrays_overlap(f"p{i}u", f"p{i}v"))
-    rest = space.keep(_verified(space.keep(rest.select("u", "v").distinct(), "rest"), sets), "rest-verified", collect_garbage=True)
+    sized = [sizes.select(F.col("lead").alias(c), F.col("members").alias(f"m{c}")) for c in "uv"]
+    open_ = meet.filter(F.col("apart") <= 3 * slack).select("u", "v", "apart").join(sized[0], "u").join(sized[1], "v").filter("mu > 1 or mv > 1")
+    large = F.col("mu") >= F.col("mv")
+    open_ = open_.select(F.when(large, F.col("u")).otherwise(F.col("v")).alias("into"), F.when(large, F.col("v")).otherwise(F.col("u")).alias("lead"), "apart", F.greatest("mu", "mv").alias("size"))
+    open_ = space.keep(open_, "open")
+    chunks = F.ceil(F.col("size") / CHUNK)
+    held = sets.select("ord", "n", "tokens").join(placed.select("ord", "lead", "away").hint("merge"), "ord")
+    into = open_.groupBy("into").agg(F.max("size").alias("size"))
+    index = held.join(into.hint("merge"), F.col("lead") == F.col("into")).select("into", F.pmod(F.xxhash64("ord"), chunks).alias("chunk"), "ord", "n", "tokens")
+    asking = placed.select("ord", "lead", "away").join(open_, "lead").filter(F.col("apart") - F.col("away") <= 2 * slack)
+    asking = asking.select("ord", "into", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"))
+    asking = asking.join(sets.select("ord", "n", "tokens").hint("merge"), "ord").select("into", "chunk", "ord", "n", "tokens")
+    asking, index = space.keep(asking, "asking"), space.keep(index, "index", collect_garbage=True)
+    rest = asking.groupBy("into", "chunk").cogroup(index.groupBy("into", "chunk")).applyInArrow(_best_link(percent), "u bigint, v bigint, both bigint, either bigint")
+    rest = space.keep(rest, "rest", collect_garbage=True)
     columns = ["u", "v", "both", "either"]
     links = near.select(columns).unionByName(meet.select(columns)).unionByName(rest.select(columns)).filter(linked)
     links = space.keep(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "both", "either").distinct(), "links")

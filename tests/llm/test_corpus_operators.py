@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from simgrove.llm import mixing, suffix_dedup
+from simgrove.llm import jaccard_join, mixing, suffix_dedup
 from simgrove.llm.components import components
 from simgrove.llm.jaccard_join import jaccard_components, keep_one_of_each
 from simgrove.llm.line_windows import remove_repeated_windows
@@ -97,8 +97,9 @@ def test_jaccard_components(docs, texts, none):
 
 
 @pytest.mark.parametrize("share", [0.01, 0.025, 0.04])
-def test_jaccard_components_of_large_groups(spark, share):
-    """Two large groups of near copies at the edge of the threshold, a shared passage, short texts."""
+def test_jaccard_components_of_large_groups(spark, share, monkeypatch):
+    """Two large groups of near copies at the edge of the threshold, a shared passage, short texts; small chunks."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 7)
     one, two = prose(1, 10, 30), prose(2, 6, 20)
     texts = [near(one, i, share) for i in range(60)] + [near(two, 100 + i, share / 2) for i in range(40)]
     texts += [prose(50 + i, 1, 8) + " " + two for i in range(10)] + ["few words", "few  WORDS", "one", "six words are in this text", "six words are in this texts"] * 2
