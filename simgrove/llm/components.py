@@ -16,8 +16,8 @@ def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
     to the shared folder, so a lost executor costs one round's tasks.
     """
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = space.keep(both, f"{name}-links")
-    labels = space.keep(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), f"{name}-0")
+    both = space.keep(both, f"{name}-links", small=True)
+    labels = space.keep(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), f"{name}-0", small=True)
     at = 0
     while True:
         known = labels.select(F.col("node").alias("v"), F.col("label").alias("theirs"))
@@ -25,7 +25,7 @@ def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
         met = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("met"))
         jump = labels.select(F.col("node").alias("met"), F.col("label").alias("far"))
         moved = met.join(jump, "met", "left").select("node", F.least("met", F.coalesce("far", "met")).alias("label"), (F.least("met", F.coalesce("far", "met")) < F.col("label")).alias("moved"))
-        following = space.keep(moved, f"{name}-{at + 1}")
+        following = space.keep(moved, f"{name}-{at + 1}", small=True)
         changed = following.filter("moved").limit(1).count()
         labels = following.select("node", "label")
         space.drop(f"{name}-{at}")

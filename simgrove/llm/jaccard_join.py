@@ -204,16 +204,16 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     first = ordered.mapInArrow(_first_filter(percent), f"ord bigint, doc_id {kind}, content bigint, n bigint, c1 bigint, c2 bigint, carries boolean, own bigint, send array<bigint>, show array<bigint>")
     first = space.keep(first, "first")
     classes = first.filter("n > 0").groupBy("c1", "c2").agg(F.min("ord").alias("rep"))
-    classes = space.keep(classes, "classes")
+    classes = space.keep(classes, "classes", small=True)
 
     asked = first.select(F.explode("send").alias("token"), "c1", "ord").unionByName(first.select(F.explode("show").alias("token"), "c1", F.lit(None).cast("bigint").alias("ord")))
     sorted_ = asked.repartition(width, "token").sortWithinPartitions("token", "c1")
     found = sorted_.mapInArrow(_shared_tokens, "ord bigint, found bigint").groupBy("ord").agg(F.sum("found").alias("found"))
-    found = space.keep(found, "found", collect_garbage=True)
+    found = space.keep(found, "found", collect_garbage=True, small=True)
     extra = F.ceil(0.75 * EXTRA * F.col("n")) if percent == 75 else F.ceil(percent / 100 * EXTRA * F.col("n"))
     small = first.filter("carries and n > 0").select("ord", "n", "c1", "c2", "own")
     passed = small.join(found.hint("merge"), "ord", "left").filter(F.col("own") + F.coalesce("found", F.lit(0)) >= F.greatest(F.lit(1), extra)).select("c1", "c2", "n").distinct()
-    passed = space.keep(passed.join(classes, ["c1", "c2"]).select(F.col("rep").alias("ord"), "n"), "passed", collect_garbage=True)
+    passed = space.keep(passed.join(classes, ["c1", "c2"]).select(F.col("rep").alias("ord"), "n"), "passed", collect_garbage=True, small=True)
 
     texts = ordered.select("ord", "text").join(passed.select("ord").hint("merge"), "ord", "left_semi")
     whole = space.keep(texts.mapInArrow(_whole_sets, "ord bigint, tokens array<bigint>").dropDuplicates(["ord"]), "whole", collect_garbage=True)
@@ -234,7 +234,7 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
         near.append(p.join(pivots, "token").select(F.col("ord").alias("u"), F.col("pivot.ord").alias("v"), F.col("n").alias("nu"), F.col("pivot.n").alias("nv")))
     fits = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
     near = near[0].unionByName(near[1]).filter("u <> v").filter(fits).select("u", "v").distinct()
-    near = space.keep(_verified(space.keep(near, "near"), sets), "near-verified", collect_garbage=True)
+    near = space.keep(_verified(space.keep(near, "near", small=True), sets), "near-verified", collect_garbage=True, small=True)
     linked = 100 * F.col("both") >= percent * F.col("either")
     distance = 1 - F.col("both") / F.col("either")
 
@@ -242,15 +242,15 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     leader = near.filter(linked).groupBy("u").agg(F.min(F.struct(distance.alias("away"), F.col("v").alias("lead"))).alias("l")).select(F.col("u").alias("ord"), "l.away", "l.lead")
     groups = components(near.filter(linked), space, "star").select(F.col("node").alias("ord"), "label")
     placed = sets.select("ord").join(leader, "ord", "left").join(groups, "ord", "left").select("ord", F.coalesce("lead", "ord").alias("lead"), F.coalesce("away", F.lit(0.0)).alias("away"), F.coalesce("label", "ord").alias("label"))
-    placed = space.keep(placed, "placed")
+    placed = space.keep(placed, "placed", small=True)
 
     # Clusters of different groups that meet in a list of the first order. Two single sets meet in many lists;
     # they are paired only at the least token that their prefixes share, so that no pair is made twice.
-    sizes = space.keep(placed.groupBy("lead").agg(F.count(F.lit(1)).alias("members")), "sizes")
+    sizes = space.keep(placed.groupBy("lead").agg(F.count(F.lit(1)).alias("members")), "sizes", small=True)
     seats = sets.select("ord", "p0").join(placed.select("ord", "lead", "label"), "ord").join(sizes.hint("merge"), "lead")
     seats = seats.select("lead", "label", "members", F.when(F.col("members") == 1, F.array_sort("p0")).alias("prefix"), F.explode("p0").alias("token"))
     mixed = seats.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("token")
-    seats = space.keep(seats.join(mixed.hint("merge"), "token", "left_semi"), "seats")
+    seats = space.keep(seats.join(mixed.hint("merge"), "token", "left_semi"), "seats", small=True)
     several = seats.filter("members > 1").select("token", "lead", "label").distinct()
     single = seats.filter("members = 1")
     a, b = (single.select("token", F.col("lead").alias(c), F.col("label").alias(f"g{c}"), F.col("prefix").alias(f"p{c}")) for c in "uv")
@@ -263,8 +263,8 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     alone = alone.join(prefix[0].hint("merge"), "u").join(prefix[1].hint("merge"), "v").filter(fits)
     for i in range(1, ORDERS):
         alone = alone.filter(F.arrays_overlap(f"p{i}u", f"p{i}v"))
-    meet = space.keep(alone.select("u", "v").unionByName(crowd), "meet", collect_garbage=True)
-    meet = space.keep(_verified(meet, sets).withColumn("apart", distance), "meet-verified", collect_garbage=True)
+    meet = space.keep(alone.select("u", "v").unionByName(crowd), "meet", collect_garbage=True, small=True)
+    meet = space.keep(_verified(meet, sets).withColumn("apart", distance), "meet-verified", collect_garbage=True, small=True)
 
     # Members of clusters that distances to the pivots don't separate, in blocks: the larger cluster is cut into
     # chunks, and each member of the other one is counted against a whole chunk at once.
@@ -273,7 +273,7 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     open_ = meet.filter(F.col("apart") <= 3 * slack).select("u", "v", "apart").join(sized[0], "u").join(sized[1], "v").filter("mu > 1 or mv > 1")
     large = F.col("mu") >= F.col("mv")
     open_ = open_.select(F.when(large, F.col("u")).otherwise(F.col("v")).alias("into"), F.when(large, F.col("v")).otherwise(F.col("u")).alias("lead"), "apart", F.greatest("mu", "mv").alias("size"))
-    open_ = space.keep(open_, "open")
+    open_ = space.keep(open_, "open", small=True)
     chunks = F.ceil(F.col("size") / CHUNK)
     held = sets.select("ord", "n", "tokens").join(placed.select("ord", "lead", "away").hint("merge"), "ord")
     into = open_.groupBy("into").agg(F.max("size").alias("size"))
@@ -283,10 +283,10 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     asking = asking.join(sets.select("ord", "n", "tokens").hint("merge"), "ord").select("into", "chunk", "ord", "n", "tokens")
     asking, index = space.keep(asking, "asking"), space.keep(index, "index", collect_garbage=True)
     rest = asking.groupBy("into", "chunk").cogroup(index.groupBy("into", "chunk")).applyInArrow(_best_link(percent), "u bigint, v bigint, both bigint, either bigint")
-    rest = space.keep(rest, "rest", collect_garbage=True)
+    rest = space.keep(rest, "rest", collect_garbage=True, small=True)
     columns = ["u", "v", "both", "either"]
     links = near.select(columns).unionByName(meet.select(columns)).unionByName(rest.select(columns)).filter(linked)
-    links = space.keep(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "both", "either").distinct(), "links")
+    links = space.keep(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "both", "either").distinct(), "links", small=True)
     documents = first.select("ord", "doc_id", "content", "n", "c1", "c2").join(classes.hint("merge"), ["c1", "c2"], "left").select("ord", "doc_id", "content", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     return documents, links
 
@@ -308,9 +308,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     # The least doc_id of a class, then of a component: both meet in partial minima.
     classes = documents.filter("rep is not null").groupBy("rep").agg(F.min("doc_id").alias("class_id"))
     joined = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rep", "class_id", F.coalesce("label", "rep").alias("label"))
-    joined = space.keep(joined, "class-labels")
+    joined = space.keep(joined, "class-labels", small=True)
     ids = joined.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    known = space.keep(joined.select("rep", "label").join(ids, "label"), "class-components")
+    known = space.keep(joined.select("rep", "label").join(ids, "label"), "class-components", small=True)
     out = documents.join(known, "rep", "left")
     alone = F.col("rep").isNull()
     return out.select("doc_id", "content", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "ord", F.when(alone, F.col("ord")).otherwise(F.col("label")).alias("least"))
@@ -322,7 +322,7 @@ def keep_one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     space = Workspace(docs.sparkSession, "jaccard-kept")
     found = jaccard_components(docs, percent)
     kept = found.filter("ord = least").groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.count(F.lit(1)).alias("_rows"), F.max("n_shingles").alias("_n"))
-    kept = space.keep(kept, "kept", collect_garbage=True)
+    kept = space.keep(kept, "kept", collect_garbage=True, small=True)
     keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
     joined = keyed.join(kept.hint("merge"), keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_content"]))
     several = (F.col("_rows") > 1) & (F.col("_n") > 0)

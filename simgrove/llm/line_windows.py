@@ -43,7 +43,7 @@ def repeated_windows(docs: DataFrame, space: Workspace) -> DataFrame:
     windows = _windows(docs)
     place = F.struct("doc_id", "content", "at")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = space.keep(first.filter("first < last").select("h1", "h2", "first"), "first", collect_garbage=True)
+    first = space.keep(first.filter("first < last").select("h1", "h2", "first", small=True), "first", collect_garbage=True, small=True)
     later = windows.join(first.hint("merge"), ["h1", "h2"]).filter(F.col("first") < place)
     return later.groupBy("doc_id", "content").agg(F.collect_set("at").alias("starts"))
 
@@ -87,7 +87,7 @@ def remove_repeated_windows(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_removed", "n_spans", "removed").withColumn("text", F.col("text").cast("string"))
     columns = docs.columns
     given = docs.select("doc_id", F.xxhash64("text").alias("content"), "text").filter(F.col("text").contains("\n"))
-    marked = space.keep(repeated_windows(given, space), "marked", collect_garbage=True)
+    marked = space.keep(repeated_windows(given, space), "marked", collect_garbage=True, small=True)
     marked = marked.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("starts").alias("_starts"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     joined = keyed.join(marked.hint("merge"), keyed["doc_id"].eqNullSafe(marked["_id"]) & (keyed["_key"] == marked["_content"]), "left").select(*columns, "_starts")

@@ -33,11 +33,11 @@ def word_count(text) -> F.Column:
 def targets(sizes: DataFrame, space: Workspace, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """source, source_size, target. Sources in code-point order, null last, weigh 1, 2, 3, 1, ... and share
     the size of all; a target stops at `most` times its source's size and the excess goes to the others by weight."""
-    per = space.keep(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    per = space.keep(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources", small=True)
     # A row per source: the numbering is a window over the sources only, not over documents.
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int"))
-    per = space.keep(per.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("limit")), "weights")
+    per = space.keep(per.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("limit")), "weights", small=True)
     total = per.agg(F.sum("source_size")).first()[0] or 0
     capped, rate = 0.0, None
     while True:
@@ -174,7 +174,7 @@ def repeats(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3
     copies = sizes.groupBy("doc_id", "source", "content", "size").agg(F.count(F.lit(1)).alias("copies"))
     units = copies.select("doc_id", "source", "content", "size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     units = space.keep(units.withColumn("row", F.xxhash64("content", "copy", F.lit(7))), "units", collect_garbage=True)
-    goal = space.keep(targets(units, space, weights, float(most)), "targets")
+    goal = space.keep(targets(units, space, weights, float(most)), "targets", small=True)
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     aimed = goal.select(F.col("source").alias("_source"), "source_size", "target", ratio.alias("ratio"))
     joined = units.join(F.broadcast(aimed) if aimed.limit(100_001).count() <= 100_000 else aimed, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -187,7 +187,7 @@ def repeats(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3
     settled, level = [], 0
     while True:
         per = flying.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        per = space.keep(per, f"blocks{level}")
+        per = space.keep(per, f"blocks{level}", small=True)
         largest = per.agg(F.max("blocks")).first()[0]
         if largest is None:
             break
@@ -214,7 +214,7 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all their columns."""
     space = Workspace(docs.sparkSession, "mixed")
     chosen = repeats(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
-    chosen = space.keep(chosen.filter("_times > 0"), "chosen", collect_garbage=True)
+    chosen = space.keep(chosen.filter("_times > 0"), "chosen", collect_garbage=True, small=True)
     # Equal rows share a key; their repeats are dealt over them by number.
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("source").cast("string"), F.col("text").cast("string")))
     joined = keyed.join(chosen.hint("merge"), keyed["doc_id"].eqNullSafe(chosen["_id"]) & (keyed["_key"] == chosen["_content"]))

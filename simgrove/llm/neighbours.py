@@ -159,7 +159,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = 5, ta
     n = classes.count()
     k = int(min(8, max(2, round(math.log(max(n, 200) / 200) / 1.22))))
     r = _neighbour_distance(classes, nearest)
-    queries = space.keep(rows.filter(F.col("vec_id") % every == 0).distinct().select(F.col("vec_id").alias("query_id"), "v"), "queries")
+    queries = space.keep(rows.filter(F.col("vec_id") % every == 0).distinct().select(F.col("vec_id").alias("query_id"), "v"), "queries", small=True)
 
     def place(kind):
         def run(batches):
@@ -182,7 +182,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = 5, ta
     index = space.keep(classes.select("ids", "v").mapInArrow(place("index"), "dim int, tab int, cell bigint, ids array<bigint>, v array<double>"), "index")
     visits = queries.mapInArrow(place("visits"), "dim int, tab int, cell bigint, query_id bigint, v array<double>")
     cell = ["dim", "tab", "cell"]
-    large = space.keep(index.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("parts")).filter("parts > 1"), "large")
+    large = space.keep(index.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("parts")).filter("parts > 1"), "large", small=True)
     parts = F.coalesce("parts", F.lit(1))
     index = index.join(large, cell, "left").withColumn("part", F.pmod(F.xxhash64("ids"), parts)).drop("parts")
     visits = visits.join(large, cell, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
@@ -192,7 +192,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = 5, ta
 
     # Exactly, in blocks, for queries that found too few.
     short = queries.join(found.groupBy("query_id").count().filter(F.col("count") >= nearest), "query_id", "left_anti")
-    short = space.keep(short, "short")
+    short = space.keep(short, "short", small=True)
     if short.limit(1).count():
         blocks = max(1, math.ceil(n / CELL_ROWS))
         every_row = classes.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("ids"), F.lit(blocks)).alias("part"), "ids", "v")

@@ -124,7 +124,7 @@ def quality(docs: DataFrame, min_documents: int = 50, host_share: float = 0.10,
     seen = texts.groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts"), F.approx_count_distinct("surroundings").alias("ways")).filter(F.col("texts") > min_documents)
     hosts = stats.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
     above = seen.join(hosts, "host").filter((F.col("texts") > host_share * F.col("host_texts")) & (F.col("ways") >= varied * F.col("texts")))
-    above = space.keep(above.select("host", "line"), "above")
+    above = space.keep(above.select("host", "line"), "above", small=True)
     lost = exploded.select("row", "host", "line", "words").join(above.hint("merge"), ["host", "line"]).groupBy("row").agg(F.count(F.lit(1)).alias("n_lines_removed"), F.sum("words").alias("gone"))
     judged = stats.drop("lines").join(lost.hint("merge"), "row", "left").fillna(0, ["n_lines_removed", "gone"])
     left = F.col("n_words") - F.col("gone")
@@ -138,5 +138,5 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     text, so it is carried back by document and text."""
     space = Workspace(docs.sparkSession, "quality-rejects")
     verdicts = quality(docs, **limits)
-    rejects = space.keep(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct(), "rejects", collect_garbage=True)
+    rejects = space.keep(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct(), "rejects", collect_garbage=True, small=True)
     return docs.join(rejects.hint("merge"), docs["doc_id"].eqNullSafe(rejects["_id"]) & (F.xxhash64(docs["text"]) == rejects["_content"]), "left_anti")

@@ -28,9 +28,12 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str, collect_garbage: bool = False) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, collect_garbage: bool = False, small: bool = False) -> DataFrame:
         """Write df once and return it as read back. Most columns are hashes, so no codec: its buffers lie outside the
-        heap. With collect_garbage, shuffle files that fed it are released."""
+        heap. With collect_garbage, shuffle files that fed it are released. A table that is small beside the
+        documents goes into a sixteenth of the usual number of files: the local file system starts a process for each."""
+        if small:
+            df = df.repartition(max(2, shuffle_width(self.spark) // 16))
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "none").parquet(path)
         if collect_garbage:

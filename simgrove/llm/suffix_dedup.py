@@ -338,7 +338,7 @@ def repeated_bytes(docs: DataFrame, space: Workspace, length: int) -> DataFrame:
     sorted_ = cut.repartition(width, "key").sortWithinPartitions("key", "a", "b", "ord", "at")
     met = space.keep(sorted_.mapInArrow(_meet(length), OCCURRENCES), "met", collect_garbage=True)
     contested = met.filter("contested")
-    hot = space.keep(contested.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")).filter("parts > 1"), "hot")
+    hot = space.keep(contested.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")).filter("parts > 1"), "hot", small=True)
     dealt = contested.join(hot, "key", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("ord", "start"), "parts")))
     wanted = dealt.groupBy("ord").agg(F.collect_list(F.struct("key", "part", "start", "length", "windows")).alias("found"))
     held = docs.select("ord", "text").join(wanted.hint("merge"), "ord").select("ord", F.col("text").cast("binary").alias("text"), "found")
@@ -347,8 +347,8 @@ def repeated_bytes(docs: DataFrame, space: Workspace, length: int) -> DataFrame:
     found = space.keep(blocks.mapInArrow(_sort_blocks(length), "kind int, ord bigint, start bigint, length bigint, h1 bigint, h2 bigint"), "found", collect_garbage=True)
     across = found.filter("kind = 1")
     place = F.struct("ord", "start")
-    first = across.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h1", "h2", "first")
-    first = space.keep(first, "first", collect_garbage=True)
+    first = across.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h1", "h2", "first", small=True)
+    first = space.keep(first, "first", collect_garbage=True, small=True)
     later = across.join(first, ["h1", "h2"]).filter(F.col("first") < place)
     covered = met.filter("not contested").select("ord", "start", "length")
     return covered.unionByName(found.filter("kind = 0").select("ord", "start", "length")).unionByName(later.select("ord", "start", "length"))
