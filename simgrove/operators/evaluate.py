@@ -38,6 +38,12 @@ def distance_matrix(hashes: DataFrame) -> DataFrame:
     return left.crossJoin(right).select("a", "b", hamming128("a1", "a2", "b1", "b2").alias("distance"))
 
 
+def family_subset(families: DataFrame, number: int | None = None, least: int = 1, salt: str = "subset") -> DataFrame:
+    """Families (family, size) of at least that many members; the first `number` of them in hash order if given."""
+    kept = families.filter(F.col("size") >= least)
+    return kept if number is None else kept.orderBy(F.md5(F.concat(F.lit(f"{salt}:"), F.col("family").cast("string"))), "family").limit(number)
+
+
 def roc(distances: DataFrame, spark: SparkSession) -> DataFrame:
     """threshold 0 to 127, tpr, fpr, irr: macro-averaged over families.
 

@@ -539,6 +539,22 @@ def relevant_count(spark, sf_dir):
     return found.groupBy("family").agg(F.sum((F.col("label") == F.col("family")).cast("int")).alias("relevant"), F.count(F.lit(1)).alias("results"))
 
 
+@query("WITH f AS (SELECT source AS family, count(*) AS size FROM documents GROUP BY ALL HAVING count(*) >= 5) SELECT family, size FROM f ORDER BY md5('subset:' || family), family LIMIT 10")
+def family_subset(spark, sf_dir):
+    """Ten families of five members or more, in hash order: the report's own limit."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("family"))
+    return evaluate.family_subset(training_data.families(docs), 10, 5)
+
+
+@query(f"WITH {_VECTORS}, q AS (SELECT label, min(vec_id) AS vec_id FROM vectors GROUP BY label) SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.a, y.a)) AS BIGINT) AS distance FROM vectors x JOIN q USING (vec_id, label) CROSS JOIN vectors y")
+def distance_matrix(spark, sf_dir):
+    """Rows of the distance matrix of each family's least member."""
+    v = vector_keys(spark, sf_dir)
+    heads = members(spark, sf_dir).groupBy("family").agg(F.min("key").alias("key")).select("key")
+    left = v.join(heads, "key").select(F.col("key").alias("a"), F.col("hash_a").alias("x"))
+    return v.crossJoin(F.broadcast(left)).select("a", F.col("key").alias("b"), big(F.bit_count(F.col("hash_a").bitwiseXOR(F.col("x")))).alias("distance"))
+
+
 # --- scalars -------------------------------------------------------------------------------------------------
 
 
