@@ -35,6 +35,8 @@ EXTRA = 0.125
 ORDERS = 3
 #: Members of a cluster that are counted at once.
 CHUNK = 500
+#: Single sets of a list above which their pairs are made at one list only.
+MANY = 50
 
 
 def _need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -244,20 +246,23 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     placed = sets.select("ord").join(leader, "ord", "left").join(groups, "ord", "left").select("ord", F.coalesce("lead", "ord").alias("lead"), F.coalesce("away", F.lit(0.0)).alias("away"), F.coalesce("label", "ord").alias("label"))
     placed = space.keep(placed, "placed", small=True)
 
-    # Clusters of different groups that meet in a list of the first order. Two single sets meet in many lists;
-    # they are paired only at the least token that their prefixes share, so that no pair is made twice.
+    # Clusters of different groups that meet in a list of the first order. Where many single sets meet, two of
+    # them share many lists: there a pair is made only at the least token of such lists that both are in.
     sizes = space.keep(placed.groupBy("lead").agg(F.count(F.lit(1)).alias("members")), "sizes", small=True)
-    seats = sets.select("ord", "p0").join(placed.select("ord", "lead", "label"), "ord").join(sizes.hint("merge"), "lead")
-    seats = seats.select("lead", "label", "members", F.when(F.col("members") == 1, F.array_sort("p0")).alias("prefix"), F.explode("p0").alias("token"))
-    mixed = seats.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("token")
-    seats = space.keep(seats.join(mixed.hint("merge"), "token", "left_semi"), "seats", small=True)
-    several = seats.filter("members > 1").select("token", "lead", "label").distinct()
-    single = seats.filter("members = 1")
-    a, b = (single.select("token", F.col("lead").alias(c), F.col("label").alias(f"g{c}"), F.col("prefix").alias(f"p{c}")) for c in "uv")
-    alone = a.join(b, (a["token"] == b["token"]) & (a["u"] < b["v"]) & (F.array_min(F.array_intersect("pu", "pv")) == a["token"])).select("u", "v")
-    a = several.select("token", F.col("lead").alias("u"), F.col("label").alias("gu"))
-    b = seats.select("token", F.col("lead").alias("v"), F.col("label").alias("gv"), F.col("members").alias("mv")).distinct()
-    crowd = a.join(b, "token").filter("gu <> gv and (mv = 1 or u < v)").select("u", "v").distinct()
+    seats = postings[0].select("ord", "token").join(placed.select("ord", "lead", "label").hint("merge"), "ord").join(sizes.hint("merge"), "lead").select("token", "lead", "label", "members")
+    mixed = seats.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.sum((F.col("members") == 1).cast("int")).alias("singles")).filter("least <> most").select("token", "singles")
+    seats = space.keep(seats.join(mixed.hint("merge"), "token").distinct(), "seats", small=True)
+    single = seats.filter("members = 1").select("token", "lead", "singles")
+    few, many = single.filter(F.col("singles") <= MANY).select("token", "lead"), single.filter(F.col("singles") > MANY).select("token", "lead")
+    many = space.keep(many.join(many.groupBy("lead").agg(F.collect_set("token").alias("lists")), "lead"), "many", small=True)
+    a, b = (few.select("token", F.col("lead").alias(c)) for c in "uv")
+    alone = a.join(b, "token").filter("u < v").select("u", "v")
+    a, b = (many.select("token", F.col("lead").alias(c), F.col("lists").alias(f"l{c}")) for c in "uv")
+    least = F.array_min(F.array_intersect("lu", "lv"))
+    alone = alone.unionByName(a.join(b, (a["token"] == b["token"]) & (a["u"] < b["v"]) & (least == a["token"])).select("u", "v")).distinct()
+    several = seats.filter("members > 1").select("token", F.col("lead").alias("u"), F.col("label").alias("gu"))
+    every = seats.select("token", F.col("lead").alias("v"), F.col("label").alias("gv"), F.col("members").alias("mv"))
+    crowd = several.join(every, "token").filter("gu <> gv and (mv = 1 or u < v)").select("u", "v").distinct()
     # Single sets are candidates themselves and must pass every order; leaders only stand for their clusters.
     prefix = [sets.select(F.col("ord").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"p{i}").alias(f"p{i}{c}") for i in range(1, ORDERS)]) for c in "uv"]
     alone = alone.join(prefix[0].hint("merge"), "u").join(prefix[1].hint("merge"), "v").filter(fits)

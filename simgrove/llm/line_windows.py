@@ -43,7 +43,7 @@ def repeated_windows(docs: DataFrame, space: Workspace) -> DataFrame:
     windows = _windows(docs)
     place = F.struct("doc_id", "content", "at")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = space.keep(first.filter("first < last").select("h1", "h2", "first", small=True), "first", collect_garbage=True, small=True)
+    first = space.keep(first.filter("first < last").select("h1", "h2", "first"), "first", collect_garbage=True, small=True)
     later = windows.join(first.hint("merge"), ["h1", "h2"]).filter(F.col("first") < place)
     return later.groupBy("doc_id", "content").agg(F.collect_set("at").alias("starts"))
 
