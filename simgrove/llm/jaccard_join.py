@@ -252,23 +252,30 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     seats = postings[0].select("ord", "token").join(placed.select("ord", "lead", "label").hint("merge"), "ord").join(sizes.hint("merge"), "lead").select("token", "lead", "label", "members")
     mixed = seats.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.sum((F.col("members") == 1).cast("int")).alias("singles")).filter("least <> most").select("token", "singles")
     seats = space.keep(seats.join(mixed.hint("merge"), "token").distinct(), "seats", small=True)
+    # A pair of single sets is a candidate if it passes every order; it is counted where the two meet, and only
+    # links leave the join.
+    detail = sets.select(F.col("ord").alias("lead"), "n", "tokens", *[f"p{i}" for i in range(1, ORDERS)])
     single = seats.filter("members = 1").select("token", "lead", "singles")
     few, many = single.filter(F.col("singles") <= MANY).select("token", "lead"), single.filter(F.col("singles") > MANY).select("token", "lead")
-    many = space.keep(many.join(many.groupBy("lead").agg(F.collect_set("token").alias("lists")), "lead"), "many", small=True)
+    many = many.join(many.groupBy("lead").agg(F.collect_set("token").alias("lists")).hint("merge"), "lead").join(detail.hint("merge"), "lead")
+    many = space.keep(many, "many")
     a, b = (few.select("token", F.col("lead").alias(c)) for c in "uv")
-    alone = a.join(b, "token").filter("u < v").select("u", "v")
-    a, b = (many.select("token", F.col("lead").alias(c), F.col("lists").alias(f"l{c}")) for c in "uv")
-    least = F.array_min(F.array_intersect("lu", "lv"))
-    alone = alone.unionByName(a.join(b, (a["token"] == b["token"]) & (a["u"] < b["v"]) & (least == a["token"])).select("u", "v")).distinct()
+    alone = space.keep(a.join(b, "token").filter("u < v").select("u", "v").distinct(), "alone", small=True)
+    a, b = (detail.select(F.col("lead").alias(c), *[F.col(x).alias(f"{x}{c}") for x in detail.columns[1:]]) for c in "uv")
+    both = F.size(F.array_intersect("tokensu", "tokensv")).cast("bigint")
+    either = F.col("nu") + F.col("nv") - both
+    passes = fits & (100 * both >= percent * either)
+    for i in range(1, ORDERS):
+        passes = F.arrays_overlap(f"p{i}u", f"p{i}v") & passes
+    linked_few = alone.join(a.hint("merge"), "u").join(b.hint("merge"), "v").filter(passes).select("u", "v", both.alias("both"), either.alias("either"))
+    a, b = (many.select("token", *[F.col(x).alias(f"{x}{c}") for x in many.columns if x not in ("token", "lead")], F.col("lead").alias(c)) for c in "uv")
+    once = (F.col("u") < F.col("v")) & (F.array_min(F.array_intersect("listsu", "listsv")) == F.col("token"))
+    linked_many = a.join(b, "token").filter(once & passes).select("u", "v", both.alias("both"), either.alias("either"))
+    alone = space.keep(linked_few.unionByName(linked_many), "alone-links", collect_garbage=True, small=True)
     several = seats.filter("members > 1").select("token", F.col("lead").alias("u"), F.col("label").alias("gu"))
     every = seats.select("token", F.col("lead").alias("v"), F.col("label").alias("gv"), F.col("members").alias("mv"))
     crowd = several.join(every, "token").filter("gu <> gv and (mv = 1 or u < v)").select("u", "v").distinct()
-    # Single sets are candidates themselves and must pass every order; leaders only stand for their clusters.
-    prefix = [sets.select(F.col("ord").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"p{i}").alias(f"p{i}{c}") for i in range(1, ORDERS)]) for c in "uv"]
-    alone = alone.join(prefix[0].hint("merge"), "u").join(prefix[1].hint("merge"), "v").filter(fits)
-    for i in range(1, ORDERS):
-        alone = alone.filter(F.arrays_overlap(f"p{i}u", f"p{i}v"))
-    meet = space.keep(alone.select("u", "v").unionByName(crowd), "meet", collect_garbage=True, small=True)
+    meet = space.keep(crowd, "meet", collect_garbage=True, small=True)
     meet = space.keep(_verified(meet, sets).withColumn("apart", distance), "meet-verified", collect_garbage=True, small=True)
 
     # Members of clusters that distances to the pivots don't separate, in blocks: the larger cluster is cut into
@@ -290,7 +297,7 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     rest = asking.groupBy("into", "chunk").cogroup(index.groupBy("into", "chunk")).applyInArrow(_best_link(percent), "u bigint, v bigint, both bigint, either bigint")
     rest = space.keep(rest, "rest", collect_garbage=True, small=True)
     columns = ["u", "v", "both", "either"]
-    links = near.select(columns).unionByName(meet.select(columns)).unionByName(rest.select(columns)).filter(linked)
+    links = near.select(columns).unionByName(meet.select(columns)).unionByName(alone.select(columns)).unionByName(rest.select(columns)).filter(linked)
     links = space.keep(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "both", "either").distinct(), "links", small=True)
     documents = first.select("ord", "doc_id", "content", "n", "c1", "c2").join(classes.hint("merge"), ["c1", "c2"], "left").select("ord", "doc_id", "content", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     return documents, links
