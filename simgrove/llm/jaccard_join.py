@@ -244,6 +244,12 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     leader = near.filter(linked).groupBy("u").agg(F.min(F.struct(distance.alias("away"), F.col("v").alias("lead"))).alias("l")).select(F.col("u").alias("ord"), "l.away", "l.lead")
     groups = components(near.filter(linked), space, "star").select(F.col("node").alias("ord"), "label")
     placed = sets.select("ord").join(leader, "ord", "left").join(groups, "ord", "left").select("ord", F.coalesce("lead", "ord").alias("lead"), F.coalesce("away", F.lit(0.0)).alias("away"), F.coalesce("label", "ord").alias("label"))
+    placed = space.keep(placed, "placed-near", small=True)
+    # A pivot may be led by another one, so the only member of a cluster needn't be its pivot. Such a set leads itself:
+    # then a cluster of one member bears that member's name.
+    lonely = placed.groupBy("lead").agg(F.count(F.lit(1)).alias("members")).filter("members = 1").select("lead", F.lit(True).alias("lonely"))
+    own = F.col("lonely").isNotNull()
+    placed = placed.join(lonely, "lead", "left").select("ord", F.when(own, F.col("ord")).otherwise(F.col("lead")).alias("lead"), F.when(own, F.lit(0.0)).otherwise(F.col("away")).alias("away"), "label")
     placed = space.keep(placed, "placed", small=True)
 
     # Clusters of different groups that meet in a list of the first order. Where many single sets meet, two of
@@ -255,12 +261,12 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     # A pair of single sets is a candidate if it passes every order; it is counted where the two meet, and only
     # links leave the join.
     detail = sets.select(F.col("ord").alias("lead"), "n", "tokens", *[f"p{i}" for i in range(1, ORDERS)])
-    single = seats.filter("members = 1").select("token", "lead", "singles")
-    few, many = single.filter(F.col("singles") <= MANY).select("token", "lead"), single.filter(F.col("singles") > MANY).select("token", "lead")
+    single = seats.filter("members = 1").select("token", "lead", "label", "singles")
+    few, many = (single.filter(c).select("token", "lead", "label") for c in (F.col("singles") <= MANY, F.col("singles") > MANY))
     many = many.join(many.groupBy("lead").agg(F.collect_set("token").alias("lists")).hint("merge"), "lead").join(detail.hint("merge"), "lead")
     many = space.keep(many, "many")
-    a, b = (few.select("token", F.col("lead").alias(c)) for c in "uv")
-    alone = space.keep(a.join(b, "token").filter("u < v").select("u", "v").distinct(), "alone", small=True)
+    a, b = (few.select("token", F.col("lead").alias(c), F.col("label").alias(f"g{c}")) for c in "uv")
+    alone = space.keep(a.join(b, "token").filter("u < v and gu <> gv").select("u", "v").distinct(), "alone", small=True)
     a, b = (detail.select(F.col("lead").alias(c), *[F.col(x).alias(f"{x}{c}") for x in detail.columns[1:]]) for c in "uv")
     both = F.size(F.array_intersect("tokensu", "tokensv")).cast("bigint")
     either = F.col("nu") + F.col("nv") - both
@@ -269,7 +275,7 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
         passes = F.arrays_overlap(f"p{i}u", f"p{i}v") & passes
     linked_few = alone.join(a.hint("merge"), "u").join(b.hint("merge"), "v").filter(passes).select("u", "v", both.alias("both"), either.alias("either"))
     a, b = (many.select("token", *[F.col(x).alias(f"{x}{c}") for x in many.columns if x not in ("token", "lead")], F.col("lead").alias(c)) for c in "uv")
-    once = (F.col("u") < F.col("v")) & (F.array_min(F.array_intersect("listsu", "listsv")) == F.col("token"))
+    once = (F.col("u") < F.col("v")) & (F.col("labelu") != F.col("labelv")) & (F.array_min(F.array_intersect("listsu", "listsv")) == F.col("token"))
     linked_many = a.join(b, "token").filter(once & passes).select("u", "v", both.alias("both"), either.alias("either"))
     alone = space.keep(linked_few.unionByName(linked_many), "alone-links", collect_garbage=True, small=True)
     several = seats.filter("members > 1").select("token", F.col("lead").alias("u"), F.col("label").alias("gu"))

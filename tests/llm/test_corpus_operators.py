@@ -1,6 +1,7 @@
 """Operators across documents, held against plain versions."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -106,6 +107,30 @@ def test_jaccard_components_of_large_groups(spark, share, monkeypatch):
     check_components(jaccard_components(table(spark, texts).repartition(6)).collect(), texts)
 
 
+def edit_chain(seed, members=30):
+    """Texts, each an edit of a random earlier one: 8 to 16 % of the shingles changed."""
+    rng = random.Random(seed)
+    chain = [prose(10000 + seed, 6, 30)]
+    while len(chain) < members:
+        words = rng.choice(chain).split()
+        for _ in range(round(len(words) * rng.uniform(0.08, 0.16) / 5)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        chain.append(" ".join(words))
+    return chain
+
+
+def test_jaccard_components_of_edit_chains(spark):
+    """Pivots that are led by other pivots: the only member of a cluster needn't be the one it is named after."""
+    texts, ids, label = [], [], {}
+    for seed in (1, 32, 59, 79):
+        chain, first = edit_chain(seed), 30 * seed
+        texts += chain
+        ids += range(first, first + len(chain))
+        label |= {first + i: first + x for i, x in enumerate(brute.near_components(chain)[0])}
+    rows = jaccard_components(table(spark, texts, ids=ids).repartition(6)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == label
+
+
 @pytest.mark.parametrize("percent", [50, 90])
 def test_other_thresholds(spark, percent):
     texts = [near(prose(1, 6, 20), i, 0.02) for i in range(20)] + [prose(9)]
