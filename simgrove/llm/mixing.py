@@ -39,15 +39,16 @@ def targets(sizes: DataFrame, space: Workspace, weights: tuple[int, ...] = (1, 2
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int"))
     per = space.keep(per.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("limit")), "weights", small=True)
     total = per.agg(F.sum("source_size")).first()[0] or 0
-    capped, rate = 0.0, None
+    capped, rate = 0, None
     while True:
-        # All sources at or below the last rate's cap keep their limit; the rest share what is left.
+        # Sources above the last rate's cap keep their limit; the rest share what is left. Capped sources stay so, and
+        # are counted: one without words adds nothing to the sum of limits, but its weight goes.
         under = per if rate is None else per.filter(F.col("weight") * F.lit(rate) <= F.col("limit"))
-        over = 0.0 if rate is None else float(per.filter(F.col("weight") * F.lit(rate) > F.col("limit")).agg(F.sum("limit")).first()[0] or 0)
+        number, over = (0, 0.0) if rate is None else per.filter(F.col("weight") * F.lit(rate) > F.col("limit")).agg(F.count(F.lit(1)), F.sum("limit")).first()
         share = under.agg(F.sum("weight")).first()[0]
-        if not share or (rate is not None and over == capped):
+        if not share or (rate is not None and number == capped):
             break
-        rate, capped = (total - over) / float(share), over
+        rate, capped = (total - float(over or 0)) / float(share), number
     full = F.lit(rate if rate is not None else 0.0)
     return per.select("source", "source_size", F.least(F.col("limit"), F.col("weight") * full).cast("double").alias("target"))
 

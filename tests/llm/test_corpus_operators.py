@@ -185,6 +185,15 @@ def test_mix(docs, texts, none):
     assert repeats(none).collect() == []
 
 
+def test_mix_with_sources_without_words(spark):
+    """The weight of a source of empty texts is shared by the others."""
+    texts = [prose(i, 2) for i in range(12)] + [None, "", " \n"]
+    sources = ["a"] * 12 + ["b"] * 3
+    rows = repeats(table(spark, texts, sources)).collect()
+    check_mix(rows, texts, sources)
+    assert {r.times for r in rows if r.doc_id < 12} == {1}
+
+
 def test_mix_in_blocks_and_reruns(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 10)
     texts = [prose(i, 1 + i % 5) for i in range(150)]
