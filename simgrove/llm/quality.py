@@ -17,7 +17,7 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 STARTS_CODE_POINT = (np.arange(256) & 0xC0) != 0x80
 NEWLINE = 0x0A
-STATISTICS = "row bigint, doc_id {kind}, host string, content bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<line:bigint,surroundings:bigint,words:int>>"
+STATISTICS = "row bigint, doc_id {kind}, host string, content bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<line:bigint,words:int>>"
 
 
 def _repeats_in_document(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,15 +69,8 @@ def text_statistics(column: pa.Array) -> dict[str, np.ndarray]:
         line = K.mix(np.add.reduceat(K.mix(lower + k.astype(U) * K.STEP), l_first) + l_words.astype(U))
     else:
         line = np.zeros(0, U)
-    edge = np.zeros(len(line), bool)
-    edge[l_bounds[:-1][l_bounds[:-1] < len(line)]] = True
-    before = np.where(edge, U(0), np.roll(line, 1))
-    last = np.roll(edge, -1)
-    if len(last):
-        last[-1] = True
-    after = np.where(last, U(0), np.roll(line, -1))
     fresh = ~_repeats_in_document(line, l_owner)[1]
-    out |= {"line": line[fresh], "surroundings": K.mix(before * K.STEP + after)[fresh], "line_words": l_words[fresh], "line_bounds": np.searchsorted(l_owner[fresh], np.arange(n + 1), "left")}
+    out |= {"line": line[fresh], "line_words": l_words[fresh], "line_bounds": np.searchsorted(l_owner[fresh], np.arange(n + 1), "left")}
     return out
 
 
@@ -88,7 +81,7 @@ def _statistics(docs: DataFrame) -> DataFrame:
             for batch in byte_slices(whole, "text"):
                 s = text_statistics(batch.column("text"))
                 m = batch.num_rows
-                lines = pa.StructArray.from_arrays([pa.array(s["line"].view(np.int64)), pa.array(s["surroundings"].view(np.int64)), pa.array(s["line_words"].astype(np.int32))], ["line", "surroundings", "words"])
+                lines = pa.StructArray.from_arrays([pa.array(s["line"].view(np.int64)), pa.array(s["line_words"].astype(np.int32))], ["line", "words"])
                 counts = [pa.array(s[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + m)), batch.column("doc_id"), batch.column("host"), batch.column("content"), *counts, pa.ListArray.from_arrays(pa.array(s["line_bounds"].astype(np.int32)), lines)],
@@ -101,14 +94,13 @@ def _statistics(docs: DataFrame) -> DataFrame:
     return given.mapInArrow(run, STATISTICS.format(kind=docs.schema["doc_id"].dataType.simpleString()))
 
 
-def quality(docs: DataFrame, min_documents: int = 50, host_share: float = 0.10, varied: float = 0.5, left_share: float = 0.2, min_words: int = 10) -> DataFrame:
+def quality(docs: DataFrame, min_documents: int = 50, host_share: float = 0.10, left_share: float = 0.2, min_words: int = 10) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, n_lines_removed, n_words_left.
 
     Lines are normalised (words lower-cased, one space) and hashed; for each host (source) the distinct
     texts that hold a line are counted, exact copies once. A line is above the limit when more than
-    max(min_documents, host_share * the host's distinct texts) hold it and it stands in many different
-    surroundings (varied * that number, estimated): furniture of a site, not a passage of a copied text.
+    max(min_documents, host_share * the host's distinct texts) hold it, whatever stands around it.
     Such lines are removed. A document is kept unless the base rule fails it or fewer than min_words
     words, or less than left_share of its words, are left.
 
@@ -120,10 +112,10 @@ def quality(docs: DataFrame, min_documents: int = 50, host_share: float = 0.10,
     space = Workspace(docs.sparkSession, "quality")
     stats = space.keep(_statistics(docs), "statistics")
     exploded = stats.select("row", "host", "content", F.explode("lines").alias("l")).select("row", "host", "content", "l.*")
-    texts = exploded.groupBy("host", "line", "content").agg(F.min("surroundings").alias("surroundings"))
-    seen = texts.groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts"), F.approx_count_distinct("surroundings").alias("ways")).filter(F.col("texts") > min_documents)
+    texts = exploded.select("host", "line", "content").distinct()
+    seen = texts.groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > min_documents)
     hosts = stats.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
-    above = seen.join(hosts, "host").filter((F.col("texts") > host_share * F.col("host_texts")) & (F.col("ways") >= varied * F.col("texts")))
+    above = seen.join(hosts, "host").filter(F.col("texts") > host_share * F.col("host_texts"))
     above = space.keep(above.select("host", "line"), "above", small=True)
     lost = exploded.select("row", "host", "line", "words").join(above.hint("merge"), ["host", "line"]).groupBy("row").agg(F.count(F.lit(1)).alias("n_lines_removed"), F.sum("words").alias("gone"))
     judged = stats.drop("lines").join(lost.hint("merge"), "row", "left").fillna(0, ["n_lines_removed", "gone"])

@@ -104,6 +104,16 @@ def test_frequent_lines_deplete(spark):
     assert all(found[i].n_lines_removed == 0 and found[i].kept for i in range(60, 120))
 
 
+def test_blocks_of_frequent_lines_deplete(spark):
+    """A footer of five lines goes whole, though its inner lines have the same neighbours everywhere."""
+    footer = "\n".join(prose(600 + i, 1, 12) for i in range(5))
+    pages = [prose(i, 1, 8) + "\n" + footer for i in range(40)]
+    good = [prose(100 + i, 10) + "\n" + footer for i in range(10)]
+    found = {r.doc_id: r for r in quality(table(spark, pages + good, ["site"] * 50), min_documents=10).collect()}
+    assert all(found[i].n_lines_removed == 5 for i in range(50))
+    assert not any(found[i].kept for i in range(40)) and all(found[i].kept for i in range(40, 50))
+
+
 def test_rejected_rows_go(repeated, docs, none):
     assert keep_good(repeated).columns == repeated.columns
     assert sorted(r.doc_id or -1 for r in keep_good(repeated).collect()) == [-1, -1, 5, 5, 5, 5, 9]
