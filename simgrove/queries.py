@@ -555,6 +555,12 @@ def distance_matrix(spark, sf_dir):
     return v.crossJoin(F.broadcast(left)).select("a", F.col("key").alias("b"), big(F.bit_count(F.col("hash_a").bitwiseXOR(F.col("x")))).alias("distance"))
 
 
+@query(f"WITH {_VECTORS} SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.a, y.a)) AS BIGINT) AS distance FROM vectors x CROSS JOIN vectors y")
+def distance_matrix_all(spark, sf_dir):
+    """The whole distance matrix: every vector against every vector."""
+    return evaluate.distance_matrix(vector_keys(spark, sf_dir)).select("a", "b", big("distance").alias("distance"))
+
+
 # --- scalars -------------------------------------------------------------------------------------------------
 
 

@@ -41,6 +41,12 @@ def test_query_without_sql_agrees_with_itself(spark, name):
     assert one == two and one[1]
 
 
+@needs_data
+def test_distance_matrix_holds_all_pairs(spark):
+    n = queries.vector_keys(spark, SF).count()
+    assert queries.QUERIES["distance_matrix_all"](spark, SF).count() == n * n
+
+
 @needs_data
 def test_entry(spark):
     found = entry.entry(spark)
