@@ -15,7 +15,8 @@ U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_CODE = _rng.integers(0, 2**64, 256, dtype=U) | U(1)
 STEP = U(0x9E3779B97F4A7C15)
-LONG_SPAN = 4096
+#: Bytes up to which a span is hashed by a polynomial: modulo 2^64 one is sound for short spans only.
+LONG_SPAN = 63
 POWERS = np.full(LONG_SPAN, STEP, U)
 POWERS[0] = 1
 np.multiply.accumulate(POWERS, out=POWERS)
@@ -67,7 +68,7 @@ def spans(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span's bytes. Spans are disjoint and in order; very long ones go through BLAKE2."""
+    """A 64-bit hash of each span's bytes. Spans are disjoint and in order; longer ones than LONG_SPAN go through BLAKE2."""
     out = np.zeros(len(starts), U)
     if not len(starts):
         return out
@@ -85,6 +86,24 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int
     return out
 
 
+def equal_spans(raw: np.ndarray, starts: np.ndarray, other: np.ndarray, other_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether raw and other hold the same bytes in spans of equal lengths; compared eight bytes at a time."""
+
+    def words(data):
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+    a, b, same, at = words(raw), words(other), np.ones(len(lengths), bool), np.arange(len(lengths))
+    done = 0
+    while len(at):
+        left = np.minimum(lengths[at] - done, 8).astype(U)
+        mask = np.where(left == 8, ~U(0), (U(1) << (left % U(8) * U(8))) - U(1))
+        same[at] &= (a[starts[at] + done] ^ b[other_starts[at] + done]) & mask == 0
+        done += 8
+        at = at[lengths[at] > done]
+    return same
+
+
 def window_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     """Hash of words[i : i + width] for each i that has so many; order matters."""
     n = len(words) - width + 1

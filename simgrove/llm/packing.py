@@ -50,7 +50,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     A null or empty text is its end_id alone; repeated rows are packed each; an empty table gives no
     pieces. Sequence numbers follow the order of the input's partitions.
     """
-    space = Workspace(docs.sparkSession, "packing")
+    space = Workspace(docs.sparkSession, "packing", docs)
     coded = space.keep(encode_documents(docs, tokenizer_path, end_id), "coded")
     totals = space.keep(coded.groupBy("part").agg(F.sum("n").alias("total")), "totals")
     # One row per input partition, so the running sum over them is small however many documents there are.

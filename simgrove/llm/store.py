@@ -6,55 +6,93 @@ so the loss of an executor costs a recomputation of its running tasks and nothin
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Documents whose derived small tables fill one file.
+ROWS_PER_FILE = 100_000
+#: Rows of a side that may be broadcast; a row of keys takes some 50 bytes.
+BROADCAST_ROWS = 100_000
+#: Shuffle files go when the write that needed them is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a fresh one only where the session names none (tests)."""
+    """The folder named in ``spark.checkpoint.dir``. Where the session names none: a temporary one on a local master,
+    an error on a cluster, whose executors wouldn't see it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="simgrove-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="simgrove-"))
 
 
 class Workspace:
-    """Tables of one operator run. ``keep`` writes and rereads one, ``drop`` deletes one early."""
+    """Tables of one operator run. ``keep`` writes and rereads one, ``drop`` deletes one early, ``only`` all others."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, docs: DataFrame | None = None):
+        self.spark, self.docs, self.kept, self._files = spark, docs, [], None
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str, collect_garbage: bool = False, small: bool = False) -> DataFrame:
-        """Write df once and return it as read back. Most columns are hashes, so no codec: its buffers lie outside the
-        heap. With collect_garbage, shuffle files that fed it are released. A table that is small beside the
-        documents goes into a sixteenth of the usual number of files: the local file system starts a process for each."""
+    @property
+    def files(self) -> int:
+        """Files of a table that is small beside the documents: one for each ROWS_PER_FILE documents."""
+        if self._files is None:
+            rows = self.docs.count() if self.docs is not None else 0
+            self._files = max(2, min(shuffle_width(self.spark), math.ceil(rows / ROWS_PER_FILE)))
+        return self._files
+
+    def keep(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """Write df once and return it as read back; the shuffle files that fed it are released. Most columns are
+        hashes, so no codec: its buffers lie outside the heap. small: few bytes for each document, so fewer files."""
         if small:
-            df = df.repartition(max(2, shuffle_width(self.spark) // 16))
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "none").parquet(path)
-        if collect_garbage:
-            import gc
-
-            gc.collect()
-            self.spark._jvm.System.gc()
+            df = df.repartition(self.files)
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "none").parquet(path)
+        finally:
+            conf.set(_CLEANUP, before)
+        self.kept.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.kept.remove(name)
+
+    def only(self, *names: str) -> None:
+        """Delete all tables but those, which the result still reads."""
+        for name in [n for n in dict.fromkeys(self.kept) if n not in names]:
+            self.drop(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of the input can't clash with computed ones."""
-    return df.select(*[df[n] for n in names])
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of df bears it (case doesn't count)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has at most that many rows, else to be sorted and merged. df: a kept table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -70,7 +108,6 @@ def in_document_order(docs: DataFrame, space: Workspace) -> tuple[DataFrame, boo
     """
     from pyspark import TaskContext
     from pyspark.sql import Window
-    from pyspark.sql import functions as F
 
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     given = given.withColumn("content", F.xxhash64("text"))

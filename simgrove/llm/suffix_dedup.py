@@ -125,6 +125,7 @@ def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 def _cut(length: int):
     """Rows of SEGMENTS: the first of equal segments of a batch (at: start, windows and nothing else packed), and,
     spread by document with no windows and their length in a, runs covered by the later ones."""
+    shift = length.bit_length()
 
     def run(batches):
         for whole in batches:
@@ -145,7 +146,7 @@ def _cut(length: int):
                     (s["a"][first].view(np.int64), c_end - c_start),
                     (s["b"][first].view(np.int64), none),
                     (ord_[first], c_ord),
-                    (s["start"][first] << 8 | s["windows"][first], c_start << 8),
+                    (s["start"][first] << shift | s["windows"][first], c_start << shift),
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["key", "a", "b", "ord", "at"])
 
@@ -154,6 +155,7 @@ def _cut(length: int):
 
 def _meet(length: int):
     """From SEGMENTS sorted by key, a, b, ord, at: covered runs, and the first segments of contested anchors."""
+    shift = length.bit_length()
 
     def emit(contested, key, ord_, start, size, windows):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (contested, key, ord_, start, size, windows)], names=["contested", "key", "ord", "start", "length", "windows"])
@@ -162,7 +164,7 @@ def _meet(length: int):
         last, seen, held = None, 0, None  # the row before; different segments of its anchor; the only one so far
         for batch in batches:
             key, a, b, ord_, at = (c.to_numpy() for c in batch.columns)
-            start, windows = at >> 8, (at & 255).astype(np.int32)
+            start, windows = at >> shift, (at & ((1 << shift) - 1)).astype(np.int32)
             loose = windows == 0
             if loose.any():
                 yield emit(np.zeros(int(loose.sum()), bool), key[loose], ord_[loose], start[loose], a[loose], windows[loose])
@@ -336,7 +338,7 @@ def repeated_bytes(docs: DataFrame, space: Workspace, length: int) -> DataFrame:
     width = shuffle_width(docs.sparkSession)
     cut = docs.select("ord", "text").mapInArrow(_cut(length), SEGMENTS)
     sorted_ = cut.repartition(width, "key").sortWithinPartitions("key", "a", "b", "ord", "at")
-    met = space.keep(sorted_.mapInArrow(_meet(length), OCCURRENCES), "met", collect_garbage=True)
+    met = space.keep(sorted_.mapInArrow(_meet(length), OCCURRENCES), "met")
     contested = met.filter("contested")
     hot = space.keep(contested.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")).filter("parts > 1"), "hot", small=True)
     dealt = contested.join(hot, "key", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("ord", "start"), "parts")))
@@ -344,11 +346,11 @@ def repeated_bytes(docs: DataFrame, space: Workspace, length: int) -> DataFrame:
     held = docs.select("ord", "text").join(wanted.hint("merge"), "ord").select("ord", F.col("text").cast("binary").alias("text"), "found")
     pieces = held.mapInArrow(_extract, "key bigint, part bigint, ord bigint, start bigint, windows int, segment binary")
     blocks = pieces.repartition(width, "key", "part").sortWithinPartitions("key", "part", "ord", "start")
-    found = space.keep(blocks.mapInArrow(_sort_blocks(length), "kind int, ord bigint, start bigint, length bigint, h1 bigint, h2 bigint"), "found", collect_garbage=True)
+    found = space.keep(blocks.mapInArrow(_sort_blocks(length), "kind int, ord bigint, start bigint, length bigint, h1 bigint, h2 bigint"), "found")
     across = found.filter("kind = 1")
     place = F.struct("ord", "start")
     first = across.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h1", "h2", "first")
-    first = space.keep(first, "first", collect_garbage=True, small=True)
+    first = space.keep(first, "first", small=True)
     later = across.join(first, ["h1", "h2"]).filter(F.col("first") < place)
     covered = met.filter("not contested").select("ord", "start", "length")
     return covered.unionByName(found.filter("kind = 0").select("ord", "start", "length")).unionByName(later.select("ord", "start", "length"))
@@ -391,10 +393,11 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     different texts are ordered by a hash of the text; rows equal in both are one document, each with its
     row. Texts shorter than `length` are whole. An empty table gives no rows; other columns are ignored.
     """
-    space = Workspace(docs.sparkSession, "suffix-dedup")
+    space = Workspace(docs.sparkSession, "suffix-dedup", docs)
     ordered, unique = in_document_order(docs, space)
     covered = repeated_bytes(ordered if unique else ordered.dropDuplicates(["ord"]), space, length).groupBy("ord").agg(F.collect_list(F.struct("start", "length")).alias("found"))
-    covered = space.keep(covered, "covered", collect_garbage=True)
+    covered = space.keep(covered, "covered")
+    space.only("covered", "places", "place-totals")
     joined = ordered.join(covered.hint("merge"), "ord", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "found")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_remove, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<start:bigint,end:bigint>>")
