@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .store import Workspace, in_document_order, shuffle_width
+from .store import Workspace, fresh_names, in_document_order, shuffle_width
 from .token_counts import byte_slices
 
 U = np.uint64
@@ -33,10 +33,13 @@ SHINGLE = 5
 #: Share of a set that the first filter wants in common beyond a single token (l = EXTRA * n).
 EXTRA = 0.125
 ORDERS = 3
-#: Members of a cluster that are counted at once.
+#: Members of a cluster, and sets that ask for it, that are counted at once.
 CHUNK = 500
-#: Single sets of a list above which their pairs are made at one list only.
+#: Single sets of a list up to which their pairs are listed before they are counted; beyond, they are counted in
+#: the join that finds them. The links are the same.
 MANY = 50
+#: Clusters of a list that stand in one array.
+LIST = 1000
 
 
 def _need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -99,33 +102,37 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _shared_tokens(batches):
     """From (token, c1, ord) sorted: the ords of rows whose token another class has, too. A null ord is a witness.
-    A token's rows may run over batches: those of the batch's last token wait for the next one."""
-    held = None
 
-    def settle(table):
-        token, c1, ord_ = table
-        opens = np.ones(len(token), bool)
-        opens[1:] = token[1:] != token[:-1]
-        differs = np.zeros(len(token), np.int64)
-        differs[1:] = ~opens[1:] & (c1[1:] != c1[:-1])
-        group = np.cumsum(opens) - 1
-        several = np.bincount(group, weights=differs) > 0
-        asked = ord_[several[group] & (ord_ >= 0)]
-        found, count = np.unique(asked, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(count.astype(np.int64))], names=["ord", "found"])
+    A token's rows may run over batches. Only rows of its first class wait for the next batch, and only until
+    another class comes: a row for each slice of texts that holds a copy of one text."""
+    token_before, first_class, differs, waiting = None, None, False, []
+
+    def found(ords):
+        names, count = np.unique(ords, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(count.astype(np.int64))], names=["ord", "found"])
 
     for batch in batches:
-        table = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(-1).to_numpy()]
-        if held is not None:
-            table = [np.concatenate(x) for x in zip(held, table, strict=True)]
-        if not len(table[0]):
+        token, c1, ord_ = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(-1).to_numpy()
+        if not len(token):
             continue
-        cut = np.searchsorted(table[0], table[0][-1], "left")
-        held = [x[cut:] for x in table]
-        if cut:
-            yield settle([x[:cut] for x in table])
-    if held is not None:
-        yield settle(held)
+        opens = np.ones(len(token), bool)
+        opens[1:] = token[1:] != token[:-1]
+        group, first = np.cumsum(opens) - 1, c1[opens]
+        goes_on = token_before is not None and token[0] == token_before
+        if goes_on:
+            first[0] = first_class
+        several = np.bincount(group, weights=c1 != first[group]) > 0
+        if goes_on and differs:
+            several[0] = True
+        if waiting and goes_on and several[0]:
+            yield found(np.concatenate(waiting))
+        yield found(ord_[several[group] & (ord_ >= 0)])
+        last = group[-1]
+        if not goes_on or last or several[0]:
+            waiting = []
+        if not several[last]:
+            waiting.append(ord_[(group == last) & (ord_ >= 0)])
+        token_before, first_class, differs = token[-1], first[last], bool(several[last])
 
 
 def _whole_sets(batches):
@@ -160,12 +167,31 @@ def _prefixes(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v, both (tokens in common), either (of one or the other) of each pair."""
-    left = sets.select(F.col("ord").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
-    right = sets.select(F.col("ord").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
+def _verified(pairs: DataFrame, sets: DataFrame, filtered: bool = False) -> DataFrame:
+    """u, v, both (tokens in common), either (of one or the other) of each pair; filtered: of those only that share
+    a prefix token under every order."""
+    orders = [f"p{i}" for i in range(ORDERS)] if filtered else []
+    left, right = (sets.select(F.col("ord").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"), *[F.col(p).alias(f"{p}{c}") for p in orders]) for c in "uv")
+    held = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v")
+    for p in orders:
+        held = held.filter(F.arrays_overlap(f"{p}u", f"{p}v"))
     both = F.size(F.array_intersect("tu", "tv")).cast("bigint")
-    return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", both.alias("both"), (F.col("nu") + F.col("nv") - both).alias("either"))
+    return held.select("u", "v", both.alias("both"), (F.col("nu") + F.col("nv") - both).alias("either"))
+
+
+def _meeting(asking: DataFrame, met: DataFrame, larger: bool) -> DataFrame:
+    """v, us: for each asking cluster v the met clusters of other groups that share a list with it.
+
+    Both: token, lead, label, members. larger: met clusters have several members; a single set asks all of them, else
+    a pair is made from its larger name only. A list's clusters are an array for each LIST of them, and a cluster gets
+    the arrays of its own lists, so a pair is made once however many lists it shares."""
+    parts = met.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("parts"))
+    dealt = met.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("lead"), "parts"))
+    lists = dealt.groupBy("token", "part").agg(F.collect_list(F.struct(F.col("lead").alias("u"), F.col("label").alias("gu"))).alias("found"))
+    asked = asking.select("token", F.col("lead").alias("v"), F.col("label").alias("gv"), F.col("members").alias("mv"))
+    wanted = F.filter("found", lambda x: (x["gu"] != F.col("gv")) & ((F.lit(larger) & (F.col("mv") == 1)) | (x["u"] < F.col("v"))))
+    others = asked.join(lists, "token").select("v", F.transform(wanted, lambda x: x["u"]).alias("us")).filter(F.size("us") > 0)
+    return others.groupBy("v").agg(F.array_distinct(F.flatten(F.collect_list("us"))).alias("us"))
 
 
 def _best_link(percent: int):
@@ -211,20 +237,20 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     asked = first.select(F.explode("send").alias("token"), "c1", "ord").unionByName(first.select(F.explode("show").alias("token"), "c1", F.lit(None).cast("bigint").alias("ord")))
     sorted_ = asked.repartition(width, "token").sortWithinPartitions("token", "c1")
     found = sorted_.mapInArrow(_shared_tokens, "ord bigint, found bigint").groupBy("ord").agg(F.sum("found").alias("found"))
-    found = space.keep(found, "found", collect_garbage=True, small=True)
+    found = space.keep(found, "found", small=True)
     extra = F.ceil(0.75 * EXTRA * F.col("n")) if percent == 75 else F.ceil(percent / 100 * EXTRA * F.col("n"))
     small = first.filter("carries and n > 0").select("ord", "n", "c1", "c2", "own")
     passed = small.join(found.hint("merge"), "ord", "left").filter(F.col("own") + F.coalesce("found", F.lit(0)) >= F.greatest(F.lit(1), extra)).select("c1", "c2", "n").distinct()
-    passed = space.keep(passed.join(classes, ["c1", "c2"]).select(F.col("rep").alias("ord"), "n"), "passed", collect_garbage=True, small=True)
+    passed = space.keep(passed.join(classes, ["c1", "c2"]).select(F.col("rep").alias("ord"), "n"), "passed", small=True)
 
     texts = ordered.select("ord", "text").join(passed.select("ord").hint("merge"), "ord", "left_semi")
-    whole = space.keep(texts.mapInArrow(_whole_sets, "ord bigint, tokens array<bigint>").dropDuplicates(["ord"]), "whole", collect_garbage=True)
+    whole = space.keep(texts.mapInArrow(_whole_sets, "ord bigint, tokens array<bigint>").dropDuplicates(["ord"]), "whole")
     tokens = whole.select("ord", F.explode("tokens").alias("token"))
-    often = space.keep(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often", collect_garbage=True)
+    often = space.keep(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
     shared = tokens.join(often.hint("merge"), "token").groupBy("ord").agg(F.collect_list(F.struct("token", "often")).alias("shared"))
     shared = shared.join(passed.hint("merge"), "ord").filter(100 * F.size("shared") >= percent * F.col("n"))
     sets = shared.select("ord", "n", "shared").mapInArrow(_prefixes(percent), "ord bigint, n bigint, tokens array<bigint>, " + ", ".join(f"p{i} array<bigint>" for i in range(ORDERS)))
-    sets = space.keep(sets, "sets", collect_garbage=True)
+    sets = space.keep(sets, "sets")
     for name in ("whole", "often"):
         space.drop(name)
 
@@ -236,7 +262,7 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
         near.append(p.join(pivots, "token").select(F.col("ord").alias("u"), F.col("pivot.ord").alias("v"), F.col("n").alias("nu"), F.col("pivot.n").alias("nv")))
     fits = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
     near = near[0].unionByName(near[1]).filter("u <> v").filter(fits).select("u", "v").distinct()
-    near = space.keep(_verified(space.keep(near, "near", small=True), sets), "near-verified", collect_garbage=True, small=True)
+    near = space.keep(_verified(space.keep(near, "near", small=True), sets, filtered=True), "near-verified", small=True)
     linked = 100 * F.col("both") >= percent * F.col("either")
     distance = 1 - F.col("both") / F.col("either")
 
@@ -252,37 +278,40 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     placed = placed.join(lonely, "lead", "left").select("ord", F.when(own, F.col("ord")).otherwise(F.col("lead")).alias("lead"), F.when(own, F.lit(0.0)).otherwise(F.col("away")).alias("away"), "label")
     placed = space.keep(placed, "placed", small=True)
 
-    # Clusters of different groups that meet in a list of the first order. Where many single sets meet, two of
-    # them share many lists: there a pair is made only at the least token of such lists that both are in.
+    # Seats of clusters in the lists of each order where different groups meet.
     sizes = space.keep(placed.groupBy("lead").agg(F.count(F.lit(1)).alias("members")), "sizes", small=True)
-    seats = postings[0].select("ord", "token").join(placed.select("ord", "lead", "label").hint("merge"), "ord").join(sizes.hint("merge"), "lead").select("token", "lead", "label", "members")
-    mixed = seats.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.sum((F.col("members") == 1).cast("int")).alias("singles")).filter("least <> most").select("token", "singles")
-    seats = space.keep(seats.join(mixed.hint("merge"), "token").distinct(), "seats", small=True)
-    # A pair of single sets is a candidate if it passes every order; it is counted where the two meet, and only
-    # links leave the join.
+
+    def seats(i):
+        every = sets.select("ord", F.explode(f"p{i}").alias("token")).join(placed.select("ord", "lead", "label").hint("merge"), "ord").join(sizes.hint("merge"), "lead").select("token", "lead", "label", "members").distinct()
+        mixed = every.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.sum((F.col("members") == 1).cast("int")).alias("singles")).filter("least <> most").select("token", "singles")
+        return space.keep(every.join(mixed.hint("merge"), "token"), f"seats{i}", small=True)
+
+    seated = [seats(i) for i in range(ORDERS)]
+    # A pair of single sets is a candidate if it passes every order. Where few meet, candidates are listed; where many
+    # do, two of them share many lists: they are counted at the least of these, and only links leave the join.
     detail = sets.select(F.col("ord").alias("lead"), "n", "tokens", *[f"p{i}" for i in range(1, ORDERS)])
-    single = seats.filter("members = 1").select("token", "lead", "label", "singles")
-    few, many = (single.filter(c).select("token", "lead", "label") for c in (F.col("singles") <= MANY, F.col("singles") > MANY))
+    single = seated[0].filter("members = 1")
+    few, many = single.filter(F.col("singles") <= MANY), single.filter(F.col("singles") > MANY).select("token", "lead", "label")
     many = many.join(many.groupBy("lead").agg(F.collect_set("token").alias("lists")).hint("merge"), "lead").join(detail.hint("merge"), "lead")
     many = space.keep(many, "many")
-    a, b = (few.select("token", F.col("lead").alias(c), F.col("label").alias(f"g{c}")) for c in "uv")
-    alone = space.keep(a.join(b, "token").filter("u < v and gu <> gv").select("u", "v").distinct(), "alone", small=True)
-    a, b = (detail.select(F.col("lead").alias(c), *[F.col(x).alias(f"{x}{c}") for x in detail.columns[1:]]) for c in "uv")
+    alone = space.keep(_meeting(few, few, larger=False).select(F.explode("us").alias("u"), "v"), "alone", small=True)
+    linked_few = _verified(alone, sets, filtered=True).filter(linked)
+    a, b = (many.select("token", *[F.col(x).alias(f"{x}{c}") for x in many.columns if x not in ("token", "lead")], F.col("lead").alias(c)) for c in "uv")
     both = F.size(F.array_intersect("tokensu", "tokensv")).cast("bigint")
     either = F.col("nu") + F.col("nv") - both
     passes = fits & (100 * both >= percent * either)
     for i in range(1, ORDERS):
         passes = F.arrays_overlap(f"p{i}u", f"p{i}v") & passes
-    linked_few = alone.join(a.hint("merge"), "u").join(b.hint("merge"), "v").filter(passes).select("u", "v", both.alias("both"), either.alias("either"))
-    a, b = (many.select("token", *[F.col(x).alias(f"{x}{c}") for x in many.columns if x not in ("token", "lead")], F.col("lead").alias(c)) for c in "uv")
     once = (F.col("u") < F.col("v")) & (F.col("labelu") != F.col("labelv")) & (F.array_min(F.array_intersect("listsu", "listsv")) == F.col("token"))
     linked_many = a.join(b, "token").filter(once & passes).select("u", "v", both.alias("both"), either.alias("either"))
-    alone = space.keep(linked_few.unionByName(linked_many), "alone-links", collect_garbage=True, small=True)
-    several = seats.filter("members > 1").select("token", F.col("lead").alias("u"), F.col("label").alias("gu"))
-    every = seats.select("token", F.col("lead").alias("v"), F.col("label").alias("gv"), F.col("members").alias("mv"))
-    crowd = several.join(every, "token").filter("gu <> gv and (mv = 1 or u < v)").select("u", "v").distinct()
-    meet = space.keep(crowd, "meet", collect_garbage=True, small=True)
-    meet = space.keep(_verified(meet, sets).withColumn("apart", distance), "meet-verified", collect_garbage=True, small=True)
+    alone = space.keep(linked_few.unionByName(linked_many), "alone-links", small=True)
+    # Clusters of several members, and any cluster: a link of two of their sets shares a list under every order.
+    met = [space.keep(_meeting(s, s.filter("members > 1"), larger=True), f"met{i}") for i, s in enumerate(seated)]
+    meet = met[0]
+    for following in met[1:]:
+        meet = meet.join(following.select("v", F.col("us").alias("also")).hint("merge"), "v").select("v", F.array_intersect("us", "also").alias("us"))
+    meet = space.keep(meet.select(F.explode("us").alias("u"), "v"), "meet", small=True)
+    meet = space.keep(_verified(meet, sets).withColumn("apart", distance), "meet-verified", small=True)
 
     # Members of clusters that distances to the pivots don't separate, in blocks: the larger cluster is cut into
     # chunks, and each member of the other one is counted against a whole chunk at once.
@@ -297,11 +326,16 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
     into = open_.groupBy("into").agg(F.max("size").alias("size"))
     index = held.join(into.hint("merge"), F.col("lead") == F.col("into")).select("into", F.pmod(F.xxhash64("ord"), chunks).alias("chunk"), "ord", "n", "tokens")
     asking = placed.select("ord", "lead", "away").join(open_, "lead").filter(F.col("apart") - F.col("away") <= 2 * slack)
-    asking = asking.select("ord", "into", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"))
-    asking = asking.join(sets.select("ord", "n", "tokens").hint("merge"), "ord").select("into", "chunk", "ord", "n", "tokens")
-    asking, index = space.keep(asking, "asking"), space.keep(index, "index", collect_garbage=True)
-    rest = asking.groupBy("into", "chunk").cogroup(index.groupBy("into", "chunk")).applyInArrow(_best_link(percent), "u bigint, v bigint, both bigint, either bigint")
-    rest = space.keep(rest, "rest", collect_garbage=True, small=True)
+    asking = space.keep(asking.select("ord", "into", chunks.alias("chunks")), "asks", small=True)
+    # Sets that ask for a large cluster are dealt into parts of about CHUNK, each with a copy of its chunks.
+    parts = space.keep(asking.groupBy("into").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts")), "parts", small=True)
+    asking = asking.join(parts.hint("merge"), "into").select("ord", "into", F.pmod(F.xxhash64("ord"), "parts").alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
+    asking = asking.join(sets.select("ord", "n", "tokens").hint("merge"), "ord").select("into", "chunk", "part", "ord", "n", "tokens")
+    index = index.join(parts.hint("merge"), "into").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    block = ["into", "chunk", "part"]
+    asking, index = space.keep(asking, "asking"), space.keep(index, "index")
+    rest = asking.groupBy(*block).cogroup(index.groupBy(*block)).applyInArrow(_best_link(percent), "u bigint, v bigint, both bigint, either bigint")
+    rest = space.keep(rest, "rest", small=True)
     columns = ["u", "v", "both", "either"]
     links = near.select(columns).unionByName(meet.select(columns)).unionByName(alone.select(columns)).unionByName(rest.select(columns)).filter(linked)
     links = space.keep(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "both", "either").distinct(), "links", small=True)
@@ -319,7 +353,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     only if none there has an id. Rows with one doc_id and text are one document, each with its row; an empty
     table gives no rows; other columns are ignored.
     """
-    space = Workspace(docs.sparkSession, "jaccard")
+    space = Workspace(docs.sparkSession, "jaccard", docs)
     documents, links = links_between(docs, space, percent)
     labels = components(links, space, "all")
     documents = space.keep(documents, "documents")
@@ -329,6 +363,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     joined = space.keep(joined, "class-labels", small=True)
     ids = joined.groupBy("label").agg(F.min("class_id").alias("component_id"))
     known = space.keep(joined.select("rep", "label").join(ids, "label"), "class-components", small=True)
+    space.only("documents", "class-components")
     out = documents.join(known, "rep", "left")
     alone = F.col("rep").isNull()
     return out.select("doc_id", "content", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "ord", F.when(alone, F.col("ord")).otherwise(F.col("label")).alias("least"))
@@ -337,14 +372,16 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of docs that come first (by doc_id) in their component, with all their columns. Of equal rows
     with words one stays; rows without words all stay."""
-    space = Workspace(docs.sparkSession, "jaccard-kept")
+    space = Workspace(docs.sparkSession, "jaccard-kept", docs)
+    key, place, id_, content, rows, n = fresh_names(docs, "key", "place", "kept_id", "kept_content", "kept_rows", "kept_n")
     found = jaccard_components(docs, percent)
-    kept = found.filter("ord = least").groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.count(F.lit(1)).alias("_rows"), F.max("n_shingles").alias("_n"))
-    kept = space.keep(kept, "kept", collect_garbage=True, small=True)
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(kept.hint("merge"), keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_content"]))
-    several = (F.col("_rows") > 1) & (F.col("_n") > 0)
+    kept = found.filter("ord = least").groupBy(F.col("doc_id").alias(id_), F.col("content").alias(content)).agg(F.count(F.lit(1)).alias(rows), F.max("n_shingles").alias(n))
+    kept = space.keep(kept, "kept", small=True)
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    joined = keyed.join(kept.hint("merge"), keyed["doc_id"].eqNullSafe(kept[id_]) & (keyed[key] == kept[content]))
+    several = (F.col(rows) > 1) & (F.col(n) > 0)
     if not kept.filter(several).limit(1).count():
         return joined.select(*[keyed[c] for c in docs.columns])
-    place = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
-    return joined.withColumn("_place", place).filter(~several | (F.col("_place") == 1)).select(*docs.columns)
+    # Only repeated rows are numbered; a row repeated very often costs each task one row at most.
+    alike = joined.filter(several).withColumn(place, F.row_number().over(Window.partitionBy(id_, key).orderBy(F.lit(0)))).filter(F.col(place) == 1)
+    return joined.filter(~several).select(*docs.columns).unionByName(alike.select(*docs.columns))
