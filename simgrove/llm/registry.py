@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .line_windows import ORACLE_SQL as LINE_WINDOWS_SQL
+from .quality import ORACLE_SQL as QUALITY_SQL
 from .store import documents
 
 
@@ -37,7 +38,7 @@ def op3_pack_sequences(spark, sf_dir):
 def op4_line_frequency(spark, sf_dir):
     from .quality import quality
 
-    return quality(documents(spark, sf_dir)).drop("content")
+    return quality(documents(spark, sf_dir)).drop("host", "content")
 
 
 def op5_nearest_neighbours(spark, sf_dir):
@@ -78,4 +79,4 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_pack_sequences, op4_line_frequency, op5_nearest_neighbours, op6_line_windows, op7_jaccard_components, op8_token_counts, op9_license_scan, op10_toxicity)}
-ORACLES: dict[str, str] = {"op6_line_windows": LINE_WINDOWS_SQL}
+ORACLES: dict[str, str] = {"op4_line_frequency": QUALITY_SQL, "op6_line_windows": LINE_WINDOWS_SQL}
