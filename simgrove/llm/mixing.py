@@ -4,8 +4,9 @@ A source's target over its size gives the same expected number of repeats for ea
 The whole part is taken outright; the fractional parts are inclusion probabilities, and the cube
 method's flight moves them through the null space of the balancing constraints (number of documents,
 tokens) until all but a few are 0 or 1. Blocks fly by themselves; what is left in them, at most one
-unit per constraint, flies on in larger company, until one block is left; its landing drops one
-constraint after the other.
+unit per constraint, flies on in larger company, until one block is left. LANDING of its units, one of
+each size class, don't fly: with the two that the flight leaves they are the landing problem, solved by
+trying every choice. All other units are decided by the flight, so their inclusion probabilities are exact.
 """
 
 from __future__ import annotations
@@ -14,20 +15,23 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Workspace
+from .store import Workspace, broadcast_if_small, fresh_names
 
 #: Units that fly together at most.
 BLOCK = 2_000
+#: Units of a source's last block that are kept for the landing.
+LANDING = 14
+#: Parts that equal rows are numbered in.
+SALTS = 64
 EPS = 1e-9
 
 
-def word_count(text) -> F.Column:
-    """Number of runs of [^\\x20\\x09-\\x0D] in the text; 0 for null."""
-    runs = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
-    return F.coalesce(F.when(F.length(text) == 0, 0).when(~text.rlike(r"[^\x20\x09-\x0D]"), 0).otherwise(F.size(runs)), F.lit(0)).cast("bigint")
+def word_count(text) -> Column:
+    """Number of [^\\x20\\x09-\\x0D]+ in the text; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
 def targets(sizes: DataFrame, space: Workspace, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -98,66 +102,50 @@ def fly(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarra
     return p
 
 
-def land(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The landing of the last few: first the number of documents is given up and tokens are kept, then the
-    choice nearest to the expected tokens is taken, so that the mix stays near its target."""
+def reserve(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Places of up to LANDING units that don't fly but wait for the landing: one of every size class, so that their
+    sums are dense."""
+    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    if len(open_) <= LANDING:
+        return open_
+    order = open_[np.argsort(sizes[open_], kind="stable")]
+    return order[np.linspace(0, len(order) - 1, LANDING).round().astype(int)]
+
+
+def land(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The small landing problem: of all choices among the units that are still open, LANDING + 2 at most, the
+    one nearest to the expected tokens; among equally near ones, nearest to the expected number of documents."""
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     out = np.round(p)
     if len(open_):
-        want = float((p[open_] * sizes[open_]).sum())
-        best = None
-        for mask in range(1 << len(open_)):
-            chosen = [(mask >> i) & 1 for i in range(len(open_))]
-            off = abs(sum(c * int(sizes[o]) for c, o in zip(chosen, open_, strict=True)) - want)
-            if best is None or off < best[0]:
-                best = (off, chosen)
-        out[open_] = best[1]
+        masks = np.arange(1 << len(open_), dtype=np.int64)
+        tokens, units = np.zeros(len(masks)), np.zeros(len(masks))
+        for i, o in enumerate(open_):
+            chosen = (masks >> i) & 1
+            tokens += chosen * float(sizes[o])
+            units += chosen
+        off = np.abs(tokens - float((p[open_] * sizes[open_]).sum()))
+        near = np.flatnonzero(off <= off.min() + 1e-6)
+        best = near[np.argmin(np.abs(units[near] - p[open_].sum()))]
+        out[open_] = (best >> np.arange(len(open_))) & 1
     return out
 
 
-def settle(taken: np.ndarray, sizes: np.ndarray, want: float, rounds: int = 64) -> np.ndarray:
-    """The small landing problem: exchanges of a unit taken for one not taken, and where none helps single
-    changes, as long as the tokens taken come nearer to want."""
-    taken = taken.copy()
-    for _ in range(rounds):
-        off = float((taken * sizes).sum()) - want
-        if abs(off) < 1:
-            break
-        inside, outside = np.flatnonzero(taken > 0.5), np.flatnonzero(taken <= 0.5)
-        best = (abs(off), None, None)
-        if len(inside) and len(outside):
-            outside = outside[np.argsort(sizes[outside], kind="stable")]
-            at = np.searchsorted(sizes[outside], sizes[inside] - off)
-            for near in (np.maximum(at - 1, 0), np.minimum(at, len(outside) - 1)):
-                gap = np.abs(off - sizes[inside] + sizes[outside[near]])
-                i = int(np.argmin(gap))
-                if gap[i] < best[0]:
-                    best = (gap[i], inside[i], outside[near[i]])
-        if best[1] is None:
-            gap = np.abs(off + np.where(taken > 0.5, -sizes, sizes))
-            i = int(np.argmin(gap))
-            if gap[i] >= abs(off):
-                break
-            taken[i] = 1 - taken[i]
-        else:
-            taken[best[1]], taken[best[2]] = 0.0, 1.0
-    return taken
-
-
-def _flight(last: bool):
-    def run(table: pa.Table) -> pa.Table:
-        order = table.sort_by([("row", "ascending")])
-        p, sizes = order["p"].to_numpy(), order["size"].to_numpy()
-        key = f"{order['group'][0].as_py()}:{len(p)}:{order['row'][0].as_py()}"
-        rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little"))
-        shuffled = rng.permutation(len(p))
-        flown = np.empty(len(p))
-        flown[shuffled] = fly(p[shuffled], sizes[shuffled], rng)
-        if last:
-            flown = settle(land(flown, sizes, rng), sizes, float((p * sizes).sum()))
-        return pa.table({"row": order["row"], "group": order["group"], "size": order["size"], "p": pa.array(flown)})
-
-    return run
+def _flight(table: pa.Table) -> pa.Table:
+    """One block; if it is all that is left of its source, it lands."""
+    order = table.sort_by([("row", "ascending")])
+    p, sizes, last = order["p"].to_numpy(), order["size"].to_numpy(), order["blocks"][0].as_py() == 1
+    key = f"{order['group'][0].as_py()}:{len(p)}:{order['row'][0].as_py()}"
+    rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little"))
+    flying = np.ones(len(p), bool)
+    if last:
+        flying[reserve(sizes, p)] = False
+    shuffled = rng.permutation(np.flatnonzero(flying))
+    flown = p.copy()
+    flown[shuffled] = fly(p[shuffled], sizes[shuffled], rng)
+    if last:
+        flown = land(flown, sizes)
+    return pa.table({"row": order["row"], "group": order["group"], "size": order["size"], "p": pa.array(flown)})
 
 
 def repeats(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -168,17 +156,17 @@ def repeats(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3
     rows themselves. A null text has size 0, null sources are one source, repeated rows are units of their
     own; an empty table gives no rows. Other columns are ignored.
     """
-    space = Workspace(docs.sparkSession, "mixing")
+    space = Workspace(docs.sparkSession, "mixing", docs)
     text = F.col("text").cast("string")
     sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", "source", text).alias("content"), word_count(text).alias("size"))
     # Equal rows are numbered so that each is a unit with a key of its own that reruns reproduce.
     copies = sizes.groupBy("doc_id", "source", "content", "size").agg(F.count(F.lit(1)).alias("copies"))
     units = copies.select("doc_id", "source", "content", "size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    units = space.keep(units.withColumn("row", F.xxhash64("content", "copy", F.lit(7))), "units", collect_garbage=True)
+    units = space.keep(units.withColumn("row", F.xxhash64("content", "copy", F.lit(7))), "units")
     goal = space.keep(targets(units, space, weights, float(most)), "targets", small=True)
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     aimed = goal.select(F.col("source").alias("_source"), "source_size", "target", ratio.alias("ratio"))
-    joined = units.join(F.broadcast(aimed) if aimed.limit(100_001).count() <= 100_000 else aimed, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    joined = units.join(broadcast_if_small(aimed), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     base = F.floor(F.col("ratio") + EPS).cast("double")
     group = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
     planned = space.keep(joined.select("doc_id", "content", "copy", "row", "size", "source_size", "target", group.alias("group"), base.alias("base"), F.greatest(F.col("ratio") - base, F.lit(0.0)).alias("p")), "planned")
@@ -189,15 +177,11 @@ def repeats(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3
     while True:
         per = flying.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         per = space.keep(per, f"blocks{level}", small=True)
-        largest = per.agg(F.max("blocks")).first()[0]
-        if largest is None:
+        if not per.limit(1).count():
             break
-        last = largest == 1
         dealt = flying.join(per, "group").withColumn("block", F.pmod(F.xxhash64("row", F.lit(level)), F.col("blocks")))
-        flown = space.keep(dealt.select("row", "group", "size", "p", "block").groupBy("group", "block").applyInArrow(_flight(last), schema), f"flown{level}", collect_garbage=True)
+        flown = space.keep(dealt.select("row", "group", "size", "p", "block", "blocks").groupBy("group", "block").applyInArrow(_flight, schema), f"flown{level}")
         settled.append(flown.filter(f"p <= {EPS} or p >= {1 - EPS}").select("row", F.round("p").cast("int").alias("extra")))
-        if last:
-            break
         flying, level = flown.filter(f"p > {EPS} and p < {1 - EPS}"), level + 1
     out = planned
     if settled:
@@ -212,14 +196,29 @@ def repeats(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with all their columns."""
-    space = Workspace(docs.sparkSession, "mixed")
-    chosen = repeats(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
-    chosen = space.keep(chosen.filter("_times > 0"), "chosen", collect_garbage=True, small=True)
-    # Equal rows share a key; their repeats are dealt over them by number.
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("source").cast("string"), F.col("text").cast("string")))
-    joined = keyed.join(chosen.hint("merge"), keyed["doc_id"].eqNullSafe(chosen["_id"]) & (keyed["_key"] == chosen["_content"]))
-    single = joined.filter("_rows = 1").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    number = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_key"))
-    several = joined.filter("_rows > 1").withColumn("_r", number).filter("_r = 1").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return single.select(*[single[c] for c in docs.columns]).unionByName(several.select(*docs.columns))
+    """The rows of docs, each as often as the mix takes it, with all their columns. Rows equal in doc_id, source and
+    text share their repeats: they are taken as often as all of them together, the first ones by their other columns
+    once more where that doesn't come out even."""
+    space = Workspace(docs.sparkSession, "mixed", docs)
+    key, id_, content, times, rows, at, n = fresh_names(docs, "mix_key", "mix_id", "mix_content", "mix_times", "mix_rows", "mix_at", "mix_n")
+    chosen = repeats(docs, **how).groupBy(F.col("doc_id").alias(id_), F.col("content").alias(content)).agg(F.sum("times").alias(times), F.count(F.lit(1)).alias(rows))
+    chosen = space.keep(chosen.filter(F.col(times) > 0), "chosen", small=True)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.col("source").cast("string"), F.col("text").cast("string")))
+    joined = keyed.join(chosen.hint("merge"), keyed["doc_id"].eqNullSafe(chosen[id_]) & (keyed[key] == chosen[content])).select(*[keyed[c] for c in [*docs.columns, key]], times, rows)
+    single = joined.filter(F.col(rows) == 1).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+    single = single.select(*[single[c] for c in docs.columns])
+    if not chosen.filter(F.col(rows) > 1).limit(1).count():
+        return single
+    # Equal rows are numbered, first in SALTS parts by their other columns, so that very many of them aren't one task's.
+    others = [F.col(c).cast("string") for c in docs.columns]
+    part, before = fresh_names(joined, "mix_part", "mix_before")
+    several = joined.filter(F.col(rows) > 1).withColumn(part, F.pmod(F.xxhash64(*others), F.lit(SALTS)))
+    sizes = several.groupBy("doc_id", key, part).agg(F.count(F.lit(1)).alias(n))
+    earlier = Window.partitionBy("doc_id", key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("doc_id").alias(id_), F.col(key).alias(content), F.col(part).alias(at), F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    numbered = several.join(offsets, several["doc_id"].eqNullSafe(offsets[id_]) & (several[key] == offsets[content]) & (several[part] == offsets[at]))
+    place = F.col(before) + F.row_number().over(Window.partitionBy("doc_id", key, part).orderBy(*others)) - 1
+    number = F.floor(F.col(times) / F.col(rows)) + (place < F.col(times) % F.col(rows)).cast("int")
+    numbered = numbered.select(*[several[c] for c in docs.columns], number.cast("int").alias(n)).filter(F.col(n) > 0)
+    again = numbered.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(n))))
+    return single.unionByName(again.select(*[again[c] for c in docs.columns]))
