@@ -10,7 +10,6 @@ Equal vectors are searched as one: of each only the smallest ids can be among th
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -18,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Workspace, shuffle_width
+from .store import Workspace, broadcast_if_small, shuffle_width
 
 #: Rows that the neighbour distance r is estimated on, at most (smallest hash of the id).
 SAMPLE_ROWS = 4096
 SAMPLE_QUERIES = 256
-#: Vectors of one cell that are ranked in one go; larger cells are split.
+#: Vectors of one cell that are ranked in one go, and queries that visit it; larger cells are split.
 CELL_ROWS = 4096
+VISIT_ROWS = 1024
+#: Cells that are held at once while visits are listed.
+PROBE_ROWS = 1_000_000
 WIDTH = 2.0
 
 
@@ -81,26 +83,48 @@ def _cells(unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 
 
 def _code(cell: np.ndarray) -> np.ndarray:
-    """One number per cell: 6 bits for each of at most 10 projections, whose values are within +-31."""
-    return ((np.clip(cell, -32, 31) + 32) << (6 * np.arange(cell.shape[-1]))).sum(axis=-1)
+    """One number per cell. Two cells that bear the same one only share their candidates."""
+    odd = np.random.default_rng(97).integers(0, 2**63, cell.shape[-1], dtype=np.int64) | 1
+    with np.errstate(over="ignore"):
+        return (cell * odd).sum(axis=-1)
 
 
 def probes(unit: np.ndarray, a: np.ndarray, b: np.ndarray, r: float, success: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, cell code) of the visits of one table: cells at most one step away in each projection, likeliest first."""
+    """(query, cell code) of the visits of one table: cells at most one step away in each projection, likeliest first
+    until their probabilities reach `success`.
+
+    Cells are put together projection by projection; what is less likely than `least` goes at once, so a query holds
+    1 / least cells at most. Queries that don't reach `success` so are tried again with a smaller `least`."""
     cell, inside = _cells(unit, a, b)
-    k = cell.shape[1]
-    steps = np.array(list(itertools.product((-1, 0, 1), repeat=k)))
-    spread = r / WIDTH * math.sqrt(2)
-    part = np.stack([(_ERF((d + 1 - inside) / spread) - _ERF((d - inside) / spread)) / 2 for d in (-1, 0, 1)])
-    likely = np.ones((len(cell), len(steps)))
-    for j in range(k):
-        likely *= part[steps[:, j] + 1, :, j].T
-    order = np.argsort(-likely, axis=1, kind="stable")
-    reached = np.cumsum(np.take_along_axis(likely, order, axis=1), axis=1)
-    n = np.minimum((reached < success).sum(axis=1) + 1, len(steps))
-    query = np.repeat(np.arange(len(cell)), n)
-    rank = np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n)
-    return query, _code(cell[query] + steps[order[query, rank]])
+    k, spread = cell.shape[1], r / WIDTH * math.sqrt(2)
+    part = np.stack([(_ERF((d + 1 - inside) / spread) - _ERF((d - inside) / spread)) / 2 for d in (-1, 0, 1)], axis=2)
+    out_query, out_code, todo, least = [], [], np.arange(len(cell)), 1 / 256
+    while len(todo):
+        again = []
+        rows = max(1, int(PROBE_ROWS * least))
+        for lo in range(0, len(todo), rows):
+            own = todo[lo : lo + rows]
+            query, likely, at = own, np.ones(len(own)), cell[own]
+            for j in range(k):
+                likely = likely[:, None] * part[query, j]
+                i, step = np.nonzero(likely >= least if least > 1e-12 else np.ones_like(likely, bool))
+                likely, query, at = likely[i, step], query[i], at[i]
+                at[:, j] += step - 1
+            order = np.lexsort((-likely, query))
+            query, likely, at = query[order], likely[order], at[order]
+            first = np.searchsorted(query, own)
+            reached = np.cumsum(likely)
+            reached -= np.repeat(reached[first] - likely[first], np.diff(np.append(first, len(query)))) if len(query) else 0
+            total = np.bincount(np.searchsorted(own, query), weights=likely, minlength=len(own))
+            enough = (total >= success) | (least <= 1e-12)
+            again.append(own[~enough])
+            use = enough[np.searchsorted(own, query)] & (reached - likely < success)
+            out_query.append(query[use])
+            out_code.append(_code(at[use]))
+        todo, least = np.concatenate(again), least / 8
+    if not out_query:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_query), np.concatenate(out_code)
 
 
 def _neighbour_distance(classes: DataFrame, nearest: int) -> float:
@@ -153,11 +177,12 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = 5, ta
     hold fewer than `nearest` candidates is ranked against all rows, in blocks. Empty tables give no rows.
     """
     spark = vectors.sparkSession
-    space, width = Workspace(spark, "neighbours"), shuffle_width(spark)
+    space, width = Workspace(spark, "neighbours", vectors), shuffle_width(spark)
     rows = clean(vectors.select("vec_id", "embedding")).select(F.col("vec_id").cast("bigint").alias("vec_id"), "v")
     classes = space.keep(_classes(rows, nearest + 1, width), "classes")
     n = classes.count()
-    k = int(min(8, max(2, round(math.log(max(n, 200) / 200) / 1.22))))
+    # Projections grow with the logarithm of the vectors, so that a cell's size doesn't grow with them.
+    k = max(2, round(math.log(max(n, 200) / 200) / 1.22))
     r = _neighbour_distance(classes, nearest)
     queries = space.keep(rows.filter(F.col("vec_id") % every == 0).distinct().select(F.col("vec_id").alias("query_id"), "v"), "queries", small=True)
 
@@ -174,20 +199,27 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = 5, ta
                         else:
                             row, cell = probes(unit, a, b, r, success)
                         m = len(row)
-                        taken = part.take(pa.array(row))
+                        taken = (part if kind == "index" else part.select(["query_id"])).take(pa.array(row))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(m, dim, np.int32)), pa.array(np.full(m, t, np.int32)), pa.array(cell), *taken.columns], names=["dim", "tab", "cell", *taken.schema.names])
 
         return run
 
     index = space.keep(classes.select("ids", "v").mapInArrow(place("index"), "dim int, tab int, cell bigint, ids array<bigint>, v array<double>"), "index")
-    visits = queries.mapInArrow(place("visits"), "dim int, tab int, cell bigint, query_id bigint, v array<double>")
+    visits = queries.mapInArrow(place("visits"), "dim int, tab int, cell bigint, query_id bigint")
     cell = ["dim", "tab", "cell"]
-    large = space.keep(index.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("parts")).filter("parts > 1"), "large", small=True)
-    parts = F.coalesce("parts", F.lit(1))
-    index = index.join(large, cell, "left").withColumn("part", F.pmod(F.xxhash64("ids"), parts)).drop("parts")
-    visits = visits.join(large, cell, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    visits = space.keep(visits, "visits")
+    # Large cells are cut into parts of their vectors times parts of the queries that visit them.
+    held = index.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("parts"))
+    asked = visits.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / VISIT_ROWS).alias("turns"))
+    large = space.keep(held.join(asked, cell).filter("parts > 1 or turns > 1"), "large", small=True)
+    few = broadcast_if_small(large)
+    parts, turns = F.coalesce("parts", F.lit(1)), F.coalesce("turns", F.lit(1))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    index = index.join(few, cell, "left").withColumn("part", F.pmod(F.xxhash64("ids"), parts)).withColumn("turn", each(turns)).drop("parts", "turns")
+    visits = visits.join(few, cell, "left").withColumn("turn", F.pmod(F.xxhash64("query_id"), turns)).withColumn("part", each(parts)).drop("parts", "turns")
+    visits = visits.join(queries.hint("merge"), "query_id")
     schema = "query_id bigint, vec_id bigint, score double"
-    found = visits.groupBy(*cell, "part").cogroup(index.groupBy(*cell, "part")).applyInArrow(lambda a, b: _rank(a, b, nearest), schema)
+    found = visits.groupBy(*cell, "part", "turn").cogroup(index.groupBy(*cell, "part", "turn")).applyInArrow(lambda a, b: _rank(a, b, nearest), schema)
     found = space.keep(found.distinct(), "found")
 
     # Exactly, in blocks, for queries that found too few.
