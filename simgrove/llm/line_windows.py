@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Workspace
+from .store import Workspace, broadcast_if_small, fresh_names
 
 LINES = 3
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -37,21 +37,22 @@ def _windows(docs: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, space: Workspace) -> DataFrame:
     """doc_id, content, starts: the first lines of the windows that begin earlier elsewhere. docs: doc_id, content, text.
 
-    Joins name their strategy, so that the plan is the same at every size. The least place of each window is found by partial minima, so a window of a third of all documents
-    costs a row per task; only windows that stand more than once are kept to mark the later ones.
+    The least place of each window is found by partial minima, so a window of a third of all documents costs a row
+    per task; only windows that stand more than once are kept to mark the later ones. They are broadcast where few,
+    else joined by sorting, where a hot window may be split.
     """
     windows = _windows(docs)
     place = F.struct("doc_id", "content", "at")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = space.keep(first.filter("first < last").select("h1", "h2", "first"), "first", collect_garbage=True, small=True)
-    later = windows.join(first.hint("merge"), ["h1", "h2"]).filter(F.col("first") < place)
+    first = space.keep(first.filter("first < last").select("h1", "h2", "first"), "first", small=True)
+    later = windows.join(broadcast_if_small(first), ["h1", "h2"]).filter(F.col("first") < place)
     return later.groupBy("doc_id", "content").agg(F.collect_set("at").alias("starts"))
 
 
-def _clean(columns: list[str]):
+def _clean(columns: list[str], starts_name: str):
     def run(batches):
         for batch in batches:
-            texts, starts = batch.column("text").to_pylist(), batch.column("_starts").to_pylist()
+            texts, starts = batch.column("text").to_pylist(), batch.column(starts_name).to_pylist()
             out, counts = [], []
             for t, s in zip(texts, starts, strict=True):
                 if not s:
@@ -83,17 +84,19 @@ def remove_repeated_windows(docs: DataFrame) -> DataFrame:
     that hold a word. Texts with fewer than three such lines are unchanged; a null text stays null. An
     empty table gives an empty one; columns of docs with one of the new names are replaced.
     """
-    space = Workspace(docs.sparkSession, "line-windows")
+    space = Workspace(docs.sparkSession, "line-windows", docs)
     docs = docs.drop("n_removed", "n_spans", "removed").withColumn("text", F.col("text").cast("string"))
     columns = docs.columns
+    key, id_, content, starts = fresh_names(docs, "line_key", "marked_id", "marked_content", "marked_starts")
     given = docs.select("doc_id", F.xxhash64("text").alias("content"), "text").filter(F.col("text").contains("\n"))
-    marked = space.keep(repeated_windows(given, space), "marked", collect_garbage=True, small=True)
-    marked = marked.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("starts").alias("_starts"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(marked.hint("merge"), keyed["doc_id"].eqNullSafe(marked["_id"]) & (keyed["_key"] == marked["_content"]), "left").select(*columns, "_starts")
+    marked = space.keep(repeated_windows(given, space), "marked", small=True)
+    space.only("marked")
+    marked = marked.select(F.col("doc_id").alias(id_), F.col("content").alias(content), F.col("starts").alias(starts))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    joined = keyed.join(marked.hint("merge"), keyed["doc_id"].eqNullSafe(marked[id_]) & (keyed[key] == marked[content]), "left").select(*[keyed[c] for c in columns], starts)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     new = ["n_removed", "n_spans", "removed"]
-    return joined.mapInArrow(_clean([*columns, *new]), ", ".join([*kinds, "n_removed bigint", "n_spans bigint", "removed array<bigint>"]))
+    return joined.mapInArrow(_clean([*columns, *new], starts), ", ".join([*kinds, "n_removed bigint", "n_spans bigint", "removed array<bigint>"]))
 
 
 ORACLE_SQL = r"""
