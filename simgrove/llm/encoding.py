@@ -8,6 +8,7 @@ long one is simply many chunks. The cache is emptied when it reaches ``CACHE_ENT
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 
@@ -22,6 +23,11 @@ LONG_CHUNK = 64
 BATCH_CHARS = 1_000_000
 
 _TWO_SPACES = re.compile(r"\s\s")
+#: Characters of a part between spaces that is cut further.
+LONG_PART = 512
+_SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_LETTERS = "A-Za-z\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3"
+_SAFE = re.compile(f"(?<=[^{_SPACES}])(?=[{_SPACES}])|(?<=[{_LETTERS}])(?=[.,;:!?()\\[\\]{{}}/\\u3001\\u3002\\uff01\\uff0c\\uff1a\\uff1b\\uff1f])")
 _BETWEEN_WORDS = re.compile(r"(?<=\S)(?= \S)")
 _tokenizers: dict[str, object] = {}
 
@@ -78,7 +84,9 @@ class TokenCounter:
     """Token counts for byte-level BPE whose pattern takes one leading space into the next word.
 
     A single space between two non-space characters always starts a pre-token there, and no special
-    token holds a space, so such a place is safe to cut at. Anywhere else the text stays in one piece.
+    token holds a space, so such a place is safe to cut at. A part that is still long is cut before other white
+    space, and between a letter and a punctuation mark that begins no special token: there a pre-token ends, too.
+    A run of letters, or of white space, stays in one piece.
     """
 
     def __init__(self, path: str):
@@ -91,11 +99,15 @@ class TokenCounter:
             if parts is None:
                 parts = _BETWEEN_WORDS.split(t)
                 parts[1:] = [p[1:] for p in parts[1:]]
-            heads.append(parts[0])
+            heads.append(parts[:1])
             rests.append(parts[1:])
-        head = self.head.learn(set(heads))
+            if len(t) > LONG_PART and max(map(len, parts)) > LONG_PART:
+                finer = [_SAFE.split(p) if len(p) > LONG_PART else [p] for p in parts]
+                heads[-1] = finer[0] + [x for f in finer[1:] for x in f[1:]]
+                rests[-1] = [f[0] for f in finer[1:]]
+        head = self.head.learn(set().union(*heads) if heads else set())
         rest = self.rest.learn(set().union(*rests) if rests else set())
-        return np.array([(head[h] if h else 0) + sum(map(rest.__getitem__, r)) for h, r in zip(heads, rests, strict=True)], np.int64)
+        return np.array([sum(head[x] for x in h if x) + sum(map(rest.__getitem__, r)) for h, r in zip(heads, rests, strict=True)], np.int64)
 
 
 #: Bytes that make a chunk special: controls, the apostrophe, and UTF-8 parts outside of Latin letters.
@@ -135,33 +147,63 @@ def units(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.where(whole, raw, K.LOWER[raw]), np.flatnonzero(begin[:-1]), np.flatnonzero(stop)
 
 
+def cuts_at_words(path: str) -> bool:
+    """Whether the file's rules are those that units() follows: white space becomes one space, letters are lower-cased,
+    and runs of letters, single digits and runs of other characters are encoded each by itself."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    steps = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+    split = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    # Fixed value: the pattern that a pre-token must match.
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("pattern") == {"Regex": pattern} and split.get("invert") is True
+
+
 class WordEncoder:
     """Token ids for a tokenizer that drops white space and encodes each word by itself.
 
-    Distinct units are looked up by a 64-bit hash in sorted arrays; only unknown ones go to the library.
+    Distinct units are looked up by a 64-bit hash in sorted arrays and compared byte by byte; only unknown ones go
+    to the library. With a tokenizer of other rules, whole texts do.
     """
 
     MOST = 1_500_000
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.by_words = path, cuts_at_words(path)
         self.dtype = np.dtype("<u2") if tokenizer(path).get_vocab_size() <= 65536 else np.dtype("<u4")
         self.forget()
 
     def forget(self):
-        self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, self.dtype)
+        self.hashes = np.zeros(0, np.uint64)
+        #: Of each unit: place and number of its ids, place and number of its bytes.
+        self.at, self.n, self.byte_at, self.bytes = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids, self.raw = np.zeros(0, self.dtype), np.zeros(0, np.uint8)
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of the ids of each text, which are appended."""
         ids = [e.ids for batch in byte_balanced(texts) for e in tokenizer(self.path).encode_batch_fast(batch, add_special_tokens=False)]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         at = len(self.ids) + np.cumsum(n) - n
         self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), self.dtype, int(n.sum()))])
+        return at, n
+
+    def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
+        at, n = self._encode([u.decode() for u in units])
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        byte_at = len(self.raw) + np.cumsum(size) - size
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(units), np.uint8)])
         places = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.at, self.n = np.insert(self.hashes, places, hashes), np.insert(self.at, places, at), np.insert(self.n, places, n)
+        self.hashes, self.at, self.n, self.byte_at, self.bytes = (np.insert(old, places, new) for old, new in ((self.hashes, hashes), (self.at, at), (self.n, n), (self.byte_at, byte_at), (self.bytes, size)))
+
+    def _whole(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        ids = [[*e.ids, end_id] for batch in byte_balanced(column.fill_null("").to_pylist()) for e in tokenizer(self.path).encode_batch_fast(batch, add_special_tokens=False)]
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        return np.fromiter(itertools.chain.from_iterable(ids), self.dtype, int(bounds[-1])), bounds
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each closed by end_id, and n + 1 bounds."""
+        if not self.by_words:
+            return self._whole(column, end_id)
         raw, bounds = K.text_bytes(column)
         raw, starts, ends = units(raw, bounds)
         keys = K.span_hashes(raw, starts, ends)
@@ -172,9 +214,14 @@ class WordEncoder:
         unknown = np.flatnonzero(self.hashes[place] != distinct) if len(self.hashes) else np.arange(len(distinct))
         if len(unknown):
             data = raw.tobytes()
-            self._learn(distinct[unknown], [data[a:b].decode() for a, b in zip(starts[first[unknown]].tolist(), ends[first[unknown]].tolist(), strict=True)])
+            self._learn(distinct[unknown], [data[a:b] for a, b in zip(starts[first[unknown]].tolist(), ends[first[unknown]].tolist(), strict=True)])
         place = np.searchsorted(self.hashes, distinct)[back]
-        n, at = self.n[place], self.at[place]
+        n, at, size = self.n[place], self.at[place], ends - starts
+        other = self.bytes[place] != size
+        other[~other] = ~K.equal_spans(raw, starts[~other], self.raw, self.byte_at[place[~other]], size[~other])
+        if other.any():  # another unit bears the same hash
+            odd, data = np.flatnonzero(other), raw.tobytes()
+            at[odd], n[odd] = self._encode([data[a:b].decode() for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
         before = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=before[1:])
         words = K.per_document(bounds, starts)
