@@ -1,12 +1,14 @@
 """Toxicity (operator 10): a weighted finite-state pattern grammar over clauses.
 
-The lexicon of insults is learned from labelled documents: words and word beginnings that stand in
-toxic documents far more often than in others. A clause (up to sentence punctuation or a line's end)
-is read by five transducers run in step: insult (learned words), threat (violent verbs), target
-(second person, names of groups), negation and reported speech. They emit one weight per clause:
-insults and threats add evidence, a target raises it, negation or reporting before it lowers it.
-A document's evidence is the sum and the maximum over its clauses; a logistic curve, fitted on the
-same labelled documents, makes it a score. Language, source, labels and ids are never inputs.
+A clause (up to sentence punctuation or a line's end) is a string of word classes: insult, threat, modal,
+target, negation, reporting, other. The insults, words and word beginnings that stand in toxic documents far
+more often than in others, are learned from labelled documents. Five small transducers are composed into one
+table of states: negation (its scope is the next three words), reported speech (to the clause's end), target
+(one within three words before or after an insult), insult and threat (a violent verb; aimed, where a modal stands
+before and a target follows). The table reads a clause once and emits its matches by channel: plain, aimed and
+doubted insults, plain, aimed and doubted threats. A document's matches per channel, and its strongest clause,
+go through a logistic curve whose weights are fitted on the same labelled documents. Language, source, labels
+and ids are never inputs.
 """
 
 from __future__ import annotations
@@ -24,22 +26,96 @@ U = np.uint64
 
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest crc32 of their id.
 MAX_TRAINING_ROWS = 20_000
-MAX_LEXICON = 5_000
 PREFIXES = (4, 5, 6)
 LETTERS = np.zeros(256, bool)
 LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 CLAUSE_ENDS = np.zeros(256, bool)
 CLAUSE_ENDS[list(b".!?;:\n")] = True
 
-# Closed word classes of the grammar, for the four languages of the corpus.
+#: Closed word classes of the grammar, for the four languages of the corpus.
 WORD_CLASSES = {
-    "threat": "kill hurt destroy die burn crush töten sterben zerstören verbrennen tuer mourir détruire brûler matar morir destruir quemar",
+    "threat": "kill hurt destroy die burn crush beat stab töten sterben zerstören verbrennen schlagen tuer mourir détruire brûler frapper matar morir destruir quemar golpear",
+    "modal": "will shall should must gonna going hope werde werden wird sollst musst hoffe vais va vas dois devrais espère voy va vas debes deberías espero",
     "target": "you your yours yourself they them he she him her du dich dir dein euch ihr sie er tu toi ton vous votre ils elles él ella tú usted ustedes ellos",
     "negation": "not never no nor neither cannot nicht nie kein keine keinen niemals ne pas jamais aucun nunca jamás ningún tampoco",
     "reported": "said says told wrote writes called quoted claimed sagte sagt schrieb behauptete dit disait écrit déclaré dijo dice escribió llamó",
 }
-#: Factors of the target, negation and reported-speech transducers.
-TARGET, NEGATION, REPORTED, THREAT = 1.25, 0.8, 0.8, 0.15
+#: Input symbols, by rising priority where a word has several.
+SYMBOLS = ("other", "target", "modal", "reported", "negation", "threat", "insult")
+#: Output channels; 0 is no output.
+CHANNELS = ("", "insult", "insult aimed", "insult doubted", "threat", "threat aimed", "threat doubted")
+#: Words that a negation reaches, and that may stand between an insult and its target.
+REACH = 3
+
+
+class Transducer:
+    """start state, and step(state, symbol, tags) -> (state, tags): what it adds to the tags of the word it reads."""
+
+    def __init__(self, start, step):
+        self.start, self.step = start, step
+
+
+def _negation(left, symbol, tags):
+    if symbol == "negation":
+        return REACH, tags
+    return max(left - 1, 0), tags | {"doubted"} if left else tags
+
+
+def _reported(on, symbol, tags):
+    return on or symbol == "reported", tags | {"doubted"} if on else tags
+
+
+def _target(left, symbol, tags):
+    if symbol == "target":
+        return REACH, tags
+    return max(left - 1, 0), tags | {"aimed"} if left else tags
+
+
+def _insult(left, symbol, tags):
+    """An insult that has no target before it waits for one behind it."""
+    if symbol == "insult":
+        channel = "insult doubted" if "doubted" in tags else "insult aimed" if "aimed" in tags else "insult"
+        return REACH if channel == "insult" else 0, tags | {channel}
+    if symbol == "target" and left:
+        return 0, tags | {"insult aimed"}
+    return max(left - 1, 0), tags
+
+
+def _threat(stage, symbol, tags):
+    """Stages: 0; 1 behind a modal; 2 behind a modal and a violent verb."""
+    if symbol == "threat":
+        return (2 if stage else 0), tags | {"threat doubted" if "doubted" in tags else "threat"}
+    if symbol == "target" and stage == 2:
+        return 0, tags | {"threat aimed"}
+    return max(stage, 1) if symbol == "modal" else stage, tags
+
+
+#: The grammar: read in this order, each sees the tags of those before it.
+GRAMMAR = (Transducer(0, _negation), Transducer(False, _reported), Transducer(0, _target), Transducer(0, _insult), Transducer(0, _threat))
+
+
+def compose(parts: tuple[Transducer, ...] = GRAMMAR) -> tuple[np.ndarray, np.ndarray]:
+    """following (state, symbol -> state) and emits (state, symbol, channel -> matches) of the parts' composition; state 0
+    is the start, other states are numbered as they are reached."""
+    states, following, emits = {tuple(p.start for p in parts): 0}, [], []
+    waiting = list(states)
+    while waiting:
+        state = waiting.pop(0)
+        row, out = [], []
+        for symbol in SYMBOLS:
+            reached, tags = [], frozenset()
+            for part, at in zip(parts, state, strict=True):
+                at, tags = part.step(at, symbol, tags)
+                reached.append(at)
+            reached = tuple(reached)
+            if reached not in states:
+                states[reached] = len(states)
+                waiting.append(reached)
+            row.append(states[reached])
+            out.append([0, *[int(c in tags) for c in CHANNELS[1:]]])
+        following.append(row)
+        emits.append(out)
+    return np.array(following), np.array(emits, np.int8)
 
 
 def letter_words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,63 +153,60 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 class Grammar:
     """keys: sorted hashes of the lexicon; weights: of each, between 0 and 1."""
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray):
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, parts: tuple[Transducer, ...] = GRAMMAR):
         self.keys, self.weights, self.classes = keys, weights, _class_hashes()
+        self.following, self.emits = compose(parts)
 
-    def evidence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: the sum and the maximum of its clauses' weights, and its number of words."""
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        """Per text: matches of each channel, an insult counting by its lexical weight, and in the first column the
+        strongest clause, its matches that aren't doubted."""
         raw, bounds = K.text_bytes(column)
-        n = len(bounds) - 1
-        total, most = np.zeros(n), np.zeros(n)
+        out = np.zeros((len(bounds) - 1, len(CHANNELS)))
         lower = K.LOWER[raw]
         starts, ends = letter_words(lower, bounds)
-        n_words = np.diff(K.per_document(bounds, starts))
         if not len(starts):
-            return total, most, n_words
+            return out
         insult = np.zeros(len(starts))
+        whole = None
         for hashes in features(lower, starts, ends):
+            whole = hashes if whole is None else whole
             at = _among(hashes, self.keys)
             insult = np.maximum(insult, np.where(at >= 0, self.weights[at] if len(self.weights) else 0.0, 0.0))
-        whole = K.span_hashes(lower, starts, ends)
-        threat = _among(whole, self.classes["threat"]) >= 0
+        symbol = np.zeros(len(starts), np.int64)
+        for i, name in enumerate(SYMBOLS):
+            if name in self.classes:
+                symbol[_among(whole, self.classes[name]) >= 0] = i
+        symbol[insult > 0] = SYMBOLS.index("insult")
         # Clauses: a word begins one if a clause end or a document's start lies between it and the word before.
         stops = np.zeros(len(raw) + 1, np.int64)
         np.cumsum(CLAUSE_ENDS[raw], out=stops[1:])
         owner = np.searchsorted(bounds, starts, "right") - 1
         begins = np.ones(len(starts), bool)
         begins[1:] = (stops[starts[1:]] > stops[starts[:-1]]) | (owner[1:] != owner[:-1])
-        clause = np.cumsum(begins) - 1
-        matched = np.unique(clause[(insult > 0) | threat])
-        if not len(matched):
-            return total, most, n_words
-        # Only matched clauses pass through the transducers.
-        use = np.flatnonzero(np.isin(clause, matched))
-        target, negation, reported = (_among(whole[use], self.classes[c]) >= 0 for c in ("target", "negation", "reported"))
-        for i, weight in self._read(clause[use], insult[use], threat[use], target, negation, reported):
-            d = owner[use[i]]
-            total[d] += weight
-            most[d] = max(most[d], weight)
-        return total, most, n_words
-
-    @staticmethod
-    def _read(clause, insult, threat, target, negation, reported):
-        """(position of a word of the clause, weight) for each clause. States: negated and reported hold from
-        their word to the clause's end; aimed holds for the whole clause."""
-        at, state, n = -1, None, len(clause)
-        for i in range(n + 1):
-            if i == n or clause[i] != at:
-                if state is not None:
-                    weight, aimed = state[0], state[3]
-                    yield i - 1, min(weight * (TARGET if aimed else 1.0), 3.0)
-                if i == n:
-                    return
-                at, state = clause[i], [0.0, False, False, False]
-            if insult[i] or threat[i]:
-                factor = (NEGATION if state[1] else 1.0) * (REPORTED if state[2] else 1.0)
-                state[0] += factor * (insult[i] + (THREAT if threat[i] else 0.0))
-            state[1] |= bool(negation[i])
-            state[2] |= bool(reported[i])
-            state[3] |= bool(target[i])
+        first = np.flatnonzero(begins)
+        length = np.diff(np.append(first, len(starts)))
+        # Only clauses with an insult or a threat can match. They are read in step, longest first.
+        can = np.add.reduceat((symbol >= SYMBOLS.index("threat")).astype(np.int64), first) > 0
+        first, length = first[can], length[can]
+        order = np.argsort(-length, kind="stable")
+        first, length = first[order], length[order]
+        state, matches = np.zeros(len(first), np.int64), np.zeros((len(first), len(CHANNELS)))
+        going = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), "right")
+        for t, n in enumerate(going.tolist()):
+            word = first[:n] + t
+            read = symbol[word]
+            emitted = self.emits[state[:n], read]
+            hit = np.flatnonzero(emitted.any(axis=1))
+            if len(hit):
+                weight = np.where(insult[word[hit]] > 0, insult[word[hit]], 1.0)
+                matches[hit] += emitted[hit] * weight[:, None]
+            state[:n] = self.following[state[:n], read]
+        sure = [CHANNELS.index(c) for c in ("insult", "insult aimed", "threat aimed")]
+        document = owner[first]
+        np.add.at(out, document, matches)
+        out[:, 0] = 0.0
+        np.maximum.at(out[:, 0], document, matches[:, sure].sum(axis=1))
+        return out
 
 
 def _feature_counts(sample: DataFrame) -> DataFrame:
@@ -170,33 +243,46 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """text, toxic of labelled documents outside the held-out fifth; at most `most` labelled rows, by crc32 of the id."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("_id")))
-    known = known.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.crc32(F.col("_id").cast("string")), "_id").limit(most)
-    return docs.join(F.broadcast(known), docs["doc_id"] == known["_id"]).select(docs["text"].cast("string").alias("text"), "toxic")
+    """text, toxic of labelled documents outside the held-out fifth; at most `most` labelled rows, by crc32 of the id.
+    A document with several labels is toxic if one of them says so."""
+    known = labels.select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("labelled").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("labelled")))
+    known = known.groupBy("labelled").agg(F.max("toxic").alias("toxic")).orderBy(F.crc32(F.col("labelled").cast("string")), "labelled").limit(most)
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(known), F.col("id") == F.col("labelled")).select("text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, space: Workspace, most: int = MAX_TRAINING_ROWS) -> tuple[Grammar, np.ndarray]:
-    """The grammar and the curve's coefficients (constant, sum, maximum). With no toxic row, scores stay near 0."""
-    sample = space.keep(training_sample(docs, labels, most), "sample")
+def lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and weights of the words and word beginnings that stand far more often in toxic documents."""
     n = dict(sample.groupBy("toxic").count().collect())
     yes, no = n.get(1, 0), n.get(0, 0)
-    keys, weights = np.zeros(0, U), np.zeros(0)
-    if yes:
-        odds = F.log((F.col("yes") + 0.1) / (yes + 0.2)) - F.log((F.col("no") + 0.1) / (no + 0.2))
-        support = max(3, round(0.02 * yes))
-        rows = _feature_counts(sample).filter(F.col("yes") >= support).select("feature", "yes", "no", odds.alias("odds")).filter(F.col("odds") > 2.0).orderBy(F.desc("odds"), "feature").limit(MAX_LEXICON).toPandas()
-        hashed = rows["feature"].to_numpy(np.int64).view(U)
-        order = np.argsort(hashed)
-        share = (rows["yes"] + 0.1) / (rows["yes"] + rows["no"] * yes / max(no, 1) + 0.2)
-        # A word seen in few documents may be there by chance: its weight is lower.
-        certainty = 1 - np.exp(-rows["yes"] / max(6.0, 0.01 * yes))
-        keys, weights = hashed[order], (share * certainty).to_numpy()[order]
-    grammar = Grammar(keys, weights)
-    table = _evidence(sample, grammar, "toxic").toPandas()
-    x, y = _shape(table["total"].to_numpy(), table["most"].to_numpy()), table["toxic"].to_numpy(np.float64)
+    if not yes:
+        return np.zeros(0, U), np.zeros(0)
+    odds = F.log((F.col("yes") + 0.1) / (yes + 0.2)) - F.log((F.col("no") + 0.1) / (no + 0.2))
+    # So no more than 50 times the features of an average toxic document of the sample can be entries.
+    support = max(3, round(0.02 * yes))
+    rows = _feature_counts(sample).filter(F.col("yes") >= support).select("feature", "yes", "no", odds.alias("odds")).filter(F.col("odds") > 2.0).toPandas()
+    hashed = rows["feature"].to_numpy(np.int64).view(U)
+    order = np.argsort(hashed)
+    share = (rows["yes"] + 0.1) / (rows["yes"] + rows["no"] * yes / max(no, 1) + 0.2)
+    # A word seen in few documents may be there by chance: its weight is lower.
+    certainty = 1 - np.exp(-rows["yes"] / max(6.0, 0.01 * yes))
+    return hashed[order], (share * certainty).to_numpy()[order]
+
+
+def fit(docs: DataFrame, labels: DataFrame, space: Workspace, most: int = MAX_TRAINING_ROWS) -> tuple[Grammar, np.ndarray]:
+    """The grammar and the curve's weights (constant, strongest clause, channels). With no toxic row, scores stay near 0.
+
+    The curve is fitted on what each half of the sample shows through the other half's lexicon, so that words that
+    are toxic by chance don't count as evidence."""
+    sample = space.keep(training_sample(docs, labels, most).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2))), "sample")
+    halves = [sample.filter(F.col("fold") == i) for i in range(2)]
+    tables = [_evidence(half, Grammar(*lexicon(other))).toPandas() for half, other in zip(halves, reversed(halves), strict=True)]
+    x = _shape(np.array([f for t in tables for f in t["found"]]).reshape(-1, len(CHANNELS)))
+    y = np.concatenate([t["toxic"].to_numpy(np.float64) for t in tables])
     w = _logistic(x, y)
     w[0] -= _best_cut(x @ w, y)
+    grammar = Grammar(*lexicon(sample))
+    space.only()
     return grammar, w
 
 
@@ -214,26 +300,26 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[at - 1] + z[at]) / 2)
 
 
-def _evidence(docs: DataFrame, grammar: Grammar, carried: str) -> DataFrame:
+def _evidence(sample: DataFrame, grammar: Grammar) -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in byte_slices(whole, "text"):
-                total, most, _ = grammar.evidence(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column(carried), pa.array(total), pa.array(most)], names=[carried, "total", "most"])
+                found = grammar.evidence(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["toxic", "found"])
 
-    kind = docs.schema[carried].dataType.simpleString()
-    return docs.select(carried, "text").mapInArrow(run, f"{carried} {kind}, total double, most double")
+    return sample.select("toxic", "text").mapInArrow(run, "toxic int, found array<double>")
 
 
-def _shape(total: np.ndarray, most: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones(len(total)), np.log1p(total), most], axis=1)
+def _shape(found: np.ndarray) -> np.ndarray:
+    """Constant, strongest clause, logarithms of the channels' matches."""
+    return np.concatenate([np.ones((len(found), 1)), found[:, :1], np.log1p(found[:, 1:])], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     """Ridge logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
     if not len(y) or not y.any():
-        return np.array([-3.0, 0.0, 0.0])
+        return np.concatenate([[-3.0], np.zeros(x.shape[1] - 1)])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - y) + ridge * w
@@ -252,14 +338,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_
     A null or empty text has no evidence and gets the curve's constant. A null doc_id is not held out.
     Repeated rows get a row each, an empty table none; without labels every score is low and equal.
     """
-    space = Workspace(docs.sparkSession, "toxicity")
+    space = Workspace(docs.sparkSession, "toxicity", docs)
     grammar, w = fit(docs, labels, space, most)
 
     def run(batches):
         for whole in batches:
             for batch in byte_slices(whole, "text"):
-                total, highest, _ = grammar.evidence(batch.column("text"))
-                score = 1 / (1 + np.exp(-np.clip(_shape(total, highest) @ w, -30, 30)))
+                score = 1 / (1 + np.exp(-np.clip(_shape(grammar.evidence(batch.column("text"))) @ w, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
