@@ -280,9 +280,10 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
 
     # Seats of clusters in the lists of each order where different groups meet.
     sizes = space.keep(placed.groupBy("lead").agg(F.count(F.lit(1)).alias("members")), "sizes", small=True)
+    seatings = space.keep(placed.select("ord", "lead", "label").join(sizes.hint("merge"), "lead"), "seatings", small=True)
 
     def seats(i):
-        every = sets.select("ord", F.explode(f"p{i}").alias("token")).join(placed.select("ord", "lead", "label").hint("merge"), "ord").join(sizes.hint("merge"), "lead").select("token", "lead", "label", "members").distinct()
+        every = sets.select("ord", F.explode(f"p{i}").alias("token")).join(seatings.hint("merge"), "ord").select("token", "lead", "label", "members").distinct()
         mixed = every.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.sum((F.col("members") == 1).cast("int")).alias("singles")).filter("least <> most").select("token", "singles")
         return space.keep(every.join(mixed.hint("merge"), "token"), f"seats{i}", small=True)
 
