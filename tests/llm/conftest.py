@@ -18,6 +18,8 @@ SCHEMA = T.StructType([
     T.StructField("size", T.StringType()),
     T.StructField("token", T.StringType()),
     T.StructField("n_removed", T.StringType()),
+    # Names that helper columns have, in another case.
+    *[T.StructField(n, T.StringType()) for n in ("_KEY", "line_key", "marked_id", "marked_starts", "mix_key", "MIX_N", "mix_rows", "kept_id", "place", "rejected_content", "toxic", "labelled", "host", "content")],
 ])
 
 
@@ -37,7 +39,7 @@ def near(text, seed, share=0.02):
 
 def table(spark, texts, sources=None, ids=None):
     ids = list(range(len(texts))) if ids is None else ids
-    rows = [(i, t, "en", (sources[k] if sources else f"src{k % 3}"), len(t or ""), "r", "o", "k", "s", "t", "n") for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows = [(i, t, "en", (sources[k] if sources else f"src{k % 3}"), len(t or ""), "r", "o", "k", "s", "t", "n", *"abcdefghijklmn") for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
     return spark.createDataFrame(rows, SCHEMA)
 
 

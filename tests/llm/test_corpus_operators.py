@@ -1,5 +1,6 @@
 """Operators across documents, held against plain versions."""
 
+import itertools
 import math
 import random
 from collections import Counter
@@ -7,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from simgrove.llm import jaccard_join, mixing, suffix_dedup
+from simgrove.llm import jaccard_join, mixing, neighbours, suffix_dedup
 from simgrove.llm.components import components
 from simgrove.llm.jaccard_join import jaccard_components, keep_one_of_each
 from simgrove.llm.line_windows import remove_repeated_windows
@@ -40,6 +41,15 @@ def test_repeated_bytes_of_dealt_anchors(spark, monkeypatch):
     check_bytes(remove_repeated_bytes(table(spark, texts).repartition(7)).collect(), texts)
 
 
+@pytest.mark.parametrize("length", [30, 400])
+def test_repeated_bytes_of_other_lengths(spark, length):
+    passage = prose(8, 12, 20)
+    texts = [prose(i, 2) + passage[i * 7 :] for i in range(6)] + ["a" * 1200, "ab" * 500]
+    rows = sorted(remove_repeated_bytes(table(spark, texts), length).collect(), key=lambda r: r.doc_id)
+    for r, (runs, kept) in zip(rows, brute.removed_bytes(texts, length), strict=True):
+        assert [(s.start, s.end) for s in r.spans] == runs and bytes(r.kept) == kept
+
+
 def test_repeated_bytes_of_repeated_rows(repeated):
     rows = remove_repeated_bytes(repeated).collect()
     by = {(r.doc_id, bytes(r.kept), r.n_removed) for r in rows}
@@ -215,6 +225,31 @@ def test_mix_of_repeated_rows(repeated, none):
     assert mix_documents(none).count() == 0
 
 
+def test_landing_leaves_the_flight_alone_and_comes_near():
+    """Of fifty units only those kept for the landing, and the two that the flight leaves, are decided by the landing."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        sizes, p = np.maximum(1, rng.lognormal(5, 1.2, 50)).astype(int), np.full(50, rng.uniform(0.1, 0.9))
+        flying = np.setdiff1d(np.arange(50), mixing.reserve(sizes, p))
+        flown = p.copy()
+        flown[flying] = mixing.fly(p[flying], sizes[flying], rng)
+        decided = (flown < 1e-9) | (flown > 1 - 1e-9)
+        landed = mixing.land(flown, sizes)
+        assert decided.sum() >= 50 - mixing.LANDING - 2 and (landed[decided] == flown[decided].round()).all() and set(landed) <= {0.0, 1.0}
+        assert abs((landed * sizes).sum() - (p * sizes).sum()) < 0.02 * (p * sizes).sum()
+
+
+def test_flight_takes_units_as_often_as_planned():
+    rng = np.random.default_rng(6)
+    sizes, p, taken = rng.integers(1, 500, 40), rng.uniform(0.1, 0.9, 40), np.zeros(40)
+    for _ in range(3000):
+        order = rng.permutation(40)
+        flown = np.empty(40)
+        flown[order] = mixing.fly(p[order], sizes[order], rng)
+        taken += flown
+    assert np.abs(taken / 3000 - p).max() < 0.04
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(1)
     p, sizes = rng.uniform(0.05, 0.95, 500), rng.integers(1, 3000, 500)
@@ -224,6 +259,28 @@ def test_flight_keeps_both_totals():
     assert ((mixing.fly(np.full(9, 0.5), np.full(9, 7), rng) % 1) > 0).sum() <= 2
 
 
+def test_visits_are_the_likeliest_cells():
+    """Against a list of all 3^k cells."""
+    rng, r, success = np.random.default_rng(0), 0.9, 0.6
+    unit = neighbours._unit(rng.normal(size=(40, 32)))
+    a, b = neighbours._tables(32, 1, 5, 5)[0]
+    query, code = neighbours.probes(unit, a, b, r, success)
+    cell, inside = neighbours._cells(unit, a, b)
+    spread = r / neighbours.WIDTH * math.sqrt(2)
+    for i in range(40):
+        every = []
+        for step in itertools.product((-1, 0, 1), repeat=5):
+            likely = math.prod((math.erf((d + 1 - x) / spread) - math.erf((d - x) / spread)) / 2 for d, x in zip(step, inside[i], strict=True))
+            every.append((-likely, int(neighbours._code((cell[i] + np.array(step))[None])[0])))
+        want, reached = set(), 0.0
+        for likely, c in sorted(every):
+            if reached >= success:
+                break
+            want.add(c)
+            reached -= likely
+        assert set(code[query == i].tolist()) == want
+
+
 def vectors(spark, data, ids=None):
     rows = [(i, v, "x", 1.0) for i, v in zip(ids or range(len(data)), data, strict=True)]
     return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, rank string, score double")

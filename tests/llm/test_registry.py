@@ -46,6 +46,20 @@ def test_suffix_dedup_and_components_equal_brute_force(spark):
     assert found == {d.doc_id: (sizes[i], docs[label[i]].doc_id) for i, d in enumerate(docs)}
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    from simgrove.llm import store
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf, sparkContext = Conf(), type("Context", (), {"master": "spark://host:7077", "applicationId": "a"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        store.shared_dir(Cluster())
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage against its plain version, on what the stage before kept."""
     texts = [prose(i, 6) for i in range(30)] + [near(prose(0, 6), 9, 0.01), prose(1, 6), prose(2, 6) + "\n" + prose(88, 3), "too few words", None, "a b " * 30]
