@@ -159,11 +159,26 @@ def cuts_at_words(path: str) -> bool:
     return steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("pattern") == {"Regex": pattern} and split.get("invert") is True
 
 
+#: Bytes of a unit whose key is its text itself.
+SHORT_UNIT = 7
+
+
+def _unit_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A short unit's bytes, with its length in the eighth; of a longer one 56 bits of hash below 0xFF."""
+    size = ends - starts
+    words = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    held = np.minimum(size, SHORT_UNIT).astype(np.uint64)
+    keys = words[starts] & ((np.uint64(1) << held * np.uint64(8)) - np.uint64(1)) | held << np.uint64(56)
+    long = size > SHORT_UNIT
+    keys[long] = K.span_hashes(raw, starts[long], ends[long]) | np.uint64(0xFF << 56)
+    return keys
+
+
 class WordEncoder:
     """Token ids for a tokenizer that drops white space and encodes each word by itself.
 
-    Distinct units are looked up by a 64-bit hash in sorted arrays and compared byte by byte; only unknown ones go
-    to the library. With a tokenizer of other rules, whole texts do.
+    Distinct units are looked up by a 64-bit key in sorted arrays, longer ones compared byte by byte; only unknown ones
+    go to the library. With a tokenizer of other rules, whole texts do.
     """
 
     MOST = 1_500_000
@@ -206,7 +221,7 @@ class WordEncoder:
             return self._whole(column, end_id)
         raw, bounds = K.text_bytes(column)
         raw, starts, ends = units(raw, bounds)
-        keys = K.span_hashes(raw, starts, ends)
+        keys = _unit_keys(raw, starts, ends)
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.hashes) > self.MOST:
             self.forget()
@@ -216,11 +231,13 @@ class WordEncoder:
             data = raw.tobytes()
             self._learn(distinct[unknown], [data[a:b] for a, b in zip(starts[first[unknown]].tolist(), ends[first[unknown]].tolist(), strict=True)])
         place = np.searchsorted(self.hashes, distinct)[back]
-        n, at, size = self.n[place], self.at[place], ends - starts
-        other = self.bytes[place] != size
-        other[~other] = ~K.equal_spans(raw, starts[~other], self.raw, self.byte_at[place[~other]], size[~other])
+        n, at = self.n[place], self.at[place]
+        long = np.flatnonzero(ends - starts > SHORT_UNIT)
+        size, held = (ends - starts)[long], place[long]
+        other = self.bytes[held] != size
+        other[~other] = ~K.equal_spans(raw, starts[long[~other]], self.raw, self.byte_at[held[~other]], size[~other])
         if other.any():  # another unit bears the same hash
-            odd, data = np.flatnonzero(other), raw.tobytes()
+            odd, data = long[other], raw.tobytes()
             at[odd], n[odd] = self._encode([data[a:b].decode() for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
         before = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=before[1:])

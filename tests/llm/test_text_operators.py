@@ -115,7 +115,7 @@ def test_units_of_one_hash_are_told_apart(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(kernels, "span_hashes", lambda raw, starts, ends, salt=0: raw[starts].astype(np.uint64) % np.uint64(3))
-    text = "alpha beta gamma delta alpha beta zeta"
+    text = "alpha beta alphabetical alphanumeric zeta alphabetical zoological zoologists"
     encoder = encoding.WordEncoder(vocabulary(PLAIN))
     for _ in range(2):
         assert encoder.encode(pa.array([text]), 2)[0].tolist() == [*ids(PLAIN, text), 2]
