@@ -44,6 +44,11 @@ def family_subset(families: DataFrame, number: int | None = None, least: int = 1
     return kept if number is None else kept.orderBy(F.md5(F.concat(F.lit(f"{salt}:"), F.col("family").cast("string"))), "family").limit(number)
 
 
+def relevant_counts(distances: DataFrame, most: int) -> DataFrame:
+    """family, relevant, results: results within that distance, and how many of them are of the family."""
+    return distances.filter(F.col("distance") <= most).groupBy("family").agg(F.sum(F.col("relevant").cast("int")).alias("relevant"), F.count(F.lit(1)).alias("results"))
+
+
 def roc(distances: DataFrame, spark: SparkSession) -> DataFrame:
     """threshold 0 to 127, tpr, fpr, irr: macro-averaged over families.
 

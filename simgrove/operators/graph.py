@@ -59,10 +59,11 @@ def hops(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     return found
 
 
-def bfs_order(edges: DataFrame, starts: DataFrame, most: int = 29) -> DataFrame:
-    """As hops, and -1 for nodes of the graph that aren't reached; in one pass over each graph's own edges.
+def bfs_order(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Distance of each node of a graph from each of its starts, -1 for nodes that aren't reached.
 
-    A graph's edges meet in one array (function graphs are small), and the walk is a fold over it."""
+    A graph's edges meet in one array (a function's graph is small), and the walk is a fold over it, with as many
+    steps as the graph has nodes: no path without a cycle is longer."""
     per = edges.select("graph_id", "src", "dst").distinct().groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
 
     def walk(e):
@@ -72,7 +73,7 @@ def bfs_order(edges: DataFrame, starts: DataFrame, most: int = 29) -> DataFrame:
             fresh = F.array_distinct(F.transform(F.filter(e, lambda x: F.array_contains(state["front"], x["src"]) & ~F.map_contains_key(state["seen"], x["dst"])), lambda x: x["dst"]))
             return F.struct(F.map_concat(state["seen"], F.map_from_arrays(fresh, F.transform(fresh, lambda _: hop))).alias("seen"), fresh.alias("front"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(most)), begin, step)["seen"]
+        return F.aggregate(F.sequence(F.lit(1), F.size(F.array_distinct(F.transform(e, lambda x: x["src"])))), begin, step)["seen"]
 
     seen = per.join(starts, "graph_id").withColumn("seen", walk(F.col("edges")))
     every = F.array_distinct(F.concat(F.transform("edges", lambda x: x["src"]), F.transform("edges", lambda x: x["dst"]), F.array("start")))
@@ -90,6 +91,12 @@ def balls(edges: DataFrame, radius: int = 3, most: int = 30, nodes: DataFrame |
     return at.join(sized, ["graph_id", "radius", "center"])
 
 
+def induced_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, radius, center, src, dst of the edges that lie inside each ball of balls()."""
+    ends = [found.select("graph_id", "radius", "center", F.col("node").alias(c)) for c in ("src", "dst")]
+    return edges.select("graph_id", "src", "dst").join(ends[0], ["graph_id", "src"]).join(ends[1], ["graph_id", "radius", "center", "dst"])
+
+
 def native_structure(edges: DataFrame) -> DataFrame:
     """graph_id, structure: MD5 over the sorted (out-degree, in-degree) pairs of all edges; the native graph hash."""
     d = degrees(edges)

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.bits import bit_pick
 from ..plans.permutation import bucket_positions
 
 
 def explode_buckets(hashes: DataFrame, permutations: int = 28, a: str = "hash_a", b: str = "hash_b") -> DataFrame:
-    """Each row once per permutation, with perm and bucket: no shuffle, bit picks only."""
-    picks = [F.struct(F.lit(k).alias("perm"), bit_pick(a, b, list(p)).alias("bucket")) for k, p in enumerate(bucket_positions(permutations))]
-    return hashes.withColumn("_e", F.explode(F.array(*picks))).select(*hashes.columns, "_e.perm", "_e.bucket")
+    """Each row once per permutation, with perm and bucket: no shuffle, eight bits picked at a time over a whole batch.
+    (As SQL functions these are 224 bit picks a row, and compiling them takes longer than running them.)"""
+    positions, columns = bucket_positions(permutations), hashes.columns
+
+    def run(batches):
+        for batch in batches:
+            words = [batch.column(c).to_numpy().view(np.uint64) for c in (b, a)]
+            for perm, picked in enumerate(positions):
+                bucket = np.zeros(batch.num_rows, np.uint64)
+                for p in picked:
+                    bucket = bucket << np.uint64(1) | words[p // 64] >> np.uint64(p % 64) & np.uint64(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, perm, np.int32)), pa.array(bucket.astype(np.int32))], names=[*columns, "perm", "bucket"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hashes.schema.fields)
+    return hashes.mapInArrow(run, f"{kinds}, perm int, bucket int")
 
 
 def index_entries(functions: DataFrame, permutations: int = 28) -> DataFrame:

@@ -4,52 +4,111 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.bits import hamming128
-from ..plans.strategy import broadcast_if_small, use_exact
 from .index import explode_buckets
 
+#: Functions and queries that are compared at once.
+BLOCK = 16_384
+TURN = 512
+FOUND = "query_id {kind}, function_id {other}, distance int"
+
+
+def _nearest(queries: pa.Table, functions: pa.Table, n: int, distinct_ids: bool) -> pa.Table:
+    """The n nearest functions of a block for each query, by distance and then id."""
+    out_q, out_f, out_d = [], [], []
+    order = np.argsort(functions["function_id"].to_numpy(), kind="stable")
+    ids = functions["function_id"].to_numpy()[order]
+    fa, fb = (functions[c].to_numpy()[order].view(np.uint64) for c in ("hash_a", "hash_b"))
+    names, qa, qb = queries["query_id"].to_numpy(), *(queries[c].to_numpy().view(np.uint64) for c in ("qa", "qb"))
+    # A key of distance and place is unique, so the n least keys are the n nearest.
+    place, most = np.arange(len(ids)), min(n, len(ids))
+    for lo in range(0, len(names) if len(ids) else 0, TURN):
+        q = slice(lo, lo + TURN)
+        distance = np.bitwise_count(qa[q, None] ^ fa).astype(np.int64) + np.bitwise_count(qb[q, None] ^ fb)
+        key = distance * len(ids) + place
+        if distinct_ids:
+            key[names[q, None] == ids] = 129 * len(ids)
+        least = key if most == len(ids) else np.partition(key, most - 1, axis=1)[:, :most]
+        row, column = np.nonzero(least < 129 * len(ids))
+        found = least[row, column]
+        out_q.append(names[q][row])
+        out_f.append(ids[found % len(ids)])
+        out_d.append((found // len(ids)).astype(np.int32))
+    columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_f, out_d)]
+    return pa.table({"query_id": columns[0], "function_id": columns[1], "distance": columns[2].astype(np.int32)})
+
+
+def _nearest_in_buckets(queries: pa.Table, functions: pa.Table, n: int, distinct_ids: bool) -> pa.Table:
+    """As _nearest, each query among the functions of its own bucket."""
+    queries, functions = queries.sort_by("bucket"), functions.sort_by("bucket")
+    asked, held = queries["bucket"].to_numpy(), functions["bucket"].to_numpy()
+    out = [_nearest(queries.slice(0, 0), functions, n, distinct_ids)]
+    for bucket in np.intersect1d(asked, held).tolist():
+        (q, q_end), (f, f_end) = (np.searchsorted(x, [bucket, bucket + 1]).tolist() for x in (asked, held))
+        out.append(_nearest(queries.slice(q, q_end - q), functions.slice(f, f_end - f), n, distinct_ids))
+    return pa.concat_tables(out)
+
 
 def _top(found: DataFrame, n: int) -> DataFrame:
     """The n nearest of each query, by distance and then id; Spark limits each task's groups before the shuffle."""
     w = Window.partitionBy("query_id").orderBy("distance", "function_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return best.withColumn("similarity", 128 - F.col("distance"))
+
+
+def _cogrouped(queries: DataFrame, functions: DataFrame, keys: list[str], n: int, distinct_ids: bool) -> DataFrame:
+    schema = FOUND.format(kind=queries.schema["query_id"].dataType.simpleString(), other=functions.schema["function_id"].dataType.simpleString())
+    rank = _nearest_in_buckets if "bucket" in queries.columns else _nearest
+    return queries.groupBy(*keys).cogroup(functions.groupBy(*keys)).applyInArrow(lambda q, f: rank(q, f, n, distinct_ids), schema)
+
+
+def _parts(df: DataFrame, name: str, parts: Column) -> DataFrame:
+    return df.withColumn(name, F.pmod(F.xxhash64(*df.columns), parts))
+
+
+def _each(df: DataFrame, name: str, parts: Column) -> DataFrame:
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
 
 
 def search_exact(queries: DataFrame, functions: DataFrame, n: int = 5, distinct_ids: bool = False) -> DataFrame:
     """query_id, function_id, distance, similarity, rank. queries: query_id, qa, qb; functions: function_id, hash_a, hash_b.
 
-    A stated set of queries against all functions; the queries are broadcast where they are few."""
-    pairs = functions.select("function_id", "hash_a", "hash_b").crossJoin(broadcast_if_small(queries.select("query_id", "qa", "qb")))
-    if distinct_ids:
-        pairs = pairs.filter("query_id <> function_id")
-    found = pairs.select("query_id", "function_id", hamming128("qa", "qb", "hash_a", "hash_b").alias("distance"))
-    return _top(found, n).withColumn("similarity", 128 - F.col("distance"))
+    A stated set of queries against all functions, in blocks of BLOCK by BLOCK: of each block only the n nearest
+    of a query leave its task. Both tables are counted, so they should be files or kept."""
+    queries, functions = queries.select("query_id", "qa", "qb"), functions.select("function_id", "hash_a", "hash_b")
+    turns, parts = (F.lit(max(1, math.ceil(df.count() / BLOCK))).cast("bigint") for df in (queries, functions))
+    asked = _each(_parts(queries, "turn", turns), "part", parts)
+    held = _each(_parts(functions, "part", parts), "turn", turns)
+    return _top(_cogrouped(asked, held, ["part", "turn"], n, distinct_ids), n)
 
 
 def search_buckets(queries: DataFrame, functions: DataFrame, n: int = 5, permutations: int = 28, distinct_ids: bool = False, entries: DataFrame | None = None) -> DataFrame:
     """As search_exact, among functions that share a bucket with the query under one of the permutations.
 
-    A candidate is taken at the first permutation that it shares, which the bucket picks of both tell, so
-    no pair is produced twice and nothing has to be deduplicated. Equal hashes fall into equal buckets; skewed
-    buckets are split by adaptive execution."""
+    Only entries of buckets that a query falls into are shuffled (the list of these has 256 rows a permutation at most,
+    and is broadcast). A task ranks a zone, some neighbouring buckets of a permutation, bucket by bucket, and only the
+    n nearest of a query leave it, so no candidate pair is shuffled. Zones are as many as BLOCK functions a zone ask
+    for, up to one for each bucket; those of more than BLOCK functions or queries are cut into parts. functions is
+    counted and read twice, so it should be a file or kept."""
     if entries is None:
         entries = explode_buckets(functions.select("function_id", "hash_a", "hash_b"), permutations)
     asked = explode_buckets(queries.select("query_id", "qa", "qb"), permutations, "qa", "qb")
-    pairs = entries.join(broadcast_if_small(asked), ["perm", "bucket"])
-    if distinct_ids:
-        pairs = pairs.filter("query_id <> function_id")
-    found = pairs.groupBy("query_id", "function_id").agg(F.min(hamming128("qa", "qb", "hash_a", "hash_b")).alias("distance"))
-    return _top(found, n).withColumn("similarity", 128 - F.col("distance"))
-
-
-def search(queries: DataFrame, functions: DataFrame, n: int = 5, permutations: int = 28) -> DataFrame:
-    """search_exact where it is the cheaper plan, else search_buckets."""
-    if use_exact(queries.count(), functions.count()):
-        return search_exact(queries, functions, n)
-    return search_buckets(queries, functions, n, permutations)
+    zones = min(256, max(1, math.ceil(functions.count() / BLOCK)))
+    zone = F.floor(F.col("bucket") * zones / 256).alias("zone")
+    asked = asked.select("*", zone)
+    held = entries.select("function_id", "hash_a", "hash_b", "perm", "bucket", zone).join(F.broadcast(asked.select("perm", "bucket").distinct()), ["perm", "bucket"], "left_semi")
+    keys = ["perm", "zone"]
+    turns = asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("turns"))
+    sizes = F.broadcast(held.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).join(turns, keys))
+    asked = _each(_parts(asked.join(sizes, keys), "turn", F.col("turns")), "part", F.col("parts"))
+    held = _each(_parts(held.join(sizes, keys), "part", F.col("parts")), "turn", F.col("turns"))
+    block = [*keys, "part", "turn"]
+    found = _cogrouped(asked.select("query_id", "qa", "qb", "bucket", *block), held.select("function_id", "hash_a", "hash_b", "bucket", *block), block, n, distinct_ids)
+    return _top(found.distinct(), n)
 
 
 def at_least(found: DataFrame, share: float = 0.8) -> DataFrame:

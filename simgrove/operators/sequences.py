@@ -44,9 +44,14 @@ def occurrence_counts(features: DataFrame, key: str = "key", feature: str = "fea
 
 def native_features(grams: DataFrame, kind: str = "mnemonic") -> DataFrame:
     """key, feature_type, occurrence, feature_a, feature_b: MD5 words of the gram and its occurrence number."""
+    return described_features(grams, kind).drop("payload")
+
+
+def described_features(grams: DataFrame, kind: str = "mnemonic") -> DataFrame:
+    """As native_features, with payload, the gram that a feature stands for."""
     named = grams.select("key", F.concat_ws(" ", "m1", "m2", "m3").alias("feature"))
     a, b = md5_words(F.concat(F.lit(f"{kind}:"), "feature", F.lit("#"), F.col("occurrence").cast("string")))
-    return occurrence_counts(named).select("key", F.lit(kind).alias("feature_type"), "occurrence", a.alias("feature_a"), b.alias("feature_b"))
+    return occurrence_counts(named).select("key", F.lit(kind).alias("feature_type"), "occurrence", a.alias("feature_a"), b.alias("feature_b"), F.col("feature").alias("payload"))
 
 
 def immediates(instructions: DataFrame) -> DataFrame:

@@ -38,6 +38,21 @@ def pair_loss(x: np.ndarray, y: np.ndarray, attract: np.ndarray) -> tuple[np.nda
     return (step * far).sum(axis=1), turn * (by_p * y * far + step * by_d), by_p * u * far - step * by_d
 
 
+def pair_losses(pairs: DataFrame) -> DataFrame:
+    """Adds loss to pairs: attract, and the float states x and y of both sides (arrays of one length)."""
+    columns = pairs.drop("x", "y").columns
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1)) for c in "xy")
+            loss = pair_loss(x, y, batch.column("attract").to_numpy(zero_copy_only=False).astype(bool))[0]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(loss)], names=[*columns, "loss"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name in columns)
+    return pairs.mapInArrow(run, f"{kinds}, loss double")
+
+
 def pair_features(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """a, b, attract, fa, fb: both functions' features as arrays of (index, word a, word b). Pairs of unknown
     functions go. features: key, index, feature_a, feature_b; pairs: a, b, attract."""

@@ -55,6 +55,22 @@ def seen_split(members: DataFrame, salt: str = "seen") -> DataFrame:
     return sized.withColumn("validation", (F.row_number().over(w) == 1) & (F.col("_n") > 1)).drop("_n")
 
 
+def training_sets(split: DataFrame, most: int = 500_000, across: bool = False) -> DataFrame:
+    """validation, attract, a, b: attraction and repulsion pairs of both sets, at most `most` attraction pairs each
+    (the report's own limit), and as many repulsion pairs as attraction pairs where there are so many.
+
+    split: key, family, validation. across: a validation member is paired with training members, as families are in both sets."""
+    left, right = (split.select("family", F.col("key").alias(c), F.col("validation").alias(f"v{c}")) for c in "ab")
+    fits = (F.col("va") != F.col("vb")) | (~F.col("va") & ~F.col("vb")) if across else F.col("va") == F.col("vb")
+    every = left.join(right, "family").filter((F.col("a") < F.col("b")) & fits).select((F.col("va") | F.col("vb")).alias("validation"), "a", "b")
+    out = []
+    for validation in (False, True):
+        attract = every.filter(F.col("validation") == validation).orderBy(hash_order("a", "b", salt="attract"), "a", "b").limit(most)
+        some = repulsion_pairs(split.filter(F.col("validation") == validation)).orderBy(hash_order("a", "b", salt="match"), "a", "b").limit(attract.count())
+        out += [x.select(F.lit(validation).alias("validation"), F.lit(kind).alias("attract"), "a", "b") for kind, x in ((True, attract), (False, some))]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 def symbols_with_code(symbols: DataFrame, functions: DataFrame) -> DataFrame:
     """Symbols of functions that were found, by lower-cased name."""
     return symbols.join(functions.select("file_id", "address").distinct(), ["file_id", "address"], "left_semi").orderBy(F.lower("function_name"))

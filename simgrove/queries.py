@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .functions.bits import hex64, hex128, parse_feature_hash
 from .functions.immediates import extract_immediates, is_useful
 from .functions.symbols import decode_name, file_id, normalise_symbol
-from .operators import evaluate, graph, index, search, sequences, simhash, training_data
+from .operators import evaluate, graph, index, search, sequences, simhash, train, training_data
 from .plans.permutation import bucket_positions
+from .plans.strategy import kept
 
 PERMUTATIONS = 28
 ROUND = 6
@@ -33,7 +34,7 @@ def document_features(spark, sf_dir):
 
 def document_hashes(spark, sf_dir) -> DataFrame:
     """key, hash_a, hash_b of documents of three words or more."""
-    return simhash.simhash128(simhash.with_weights(document_features(spark, sf_dir)))
+    return simhash.text_simhash(table(spark, sf_dir, "documents"))
 
 
 def vector_hashes(spark, sf_dir) -> DataFrame:
@@ -211,15 +212,19 @@ _LEARNT = _FEATURES + """, learnt AS (SELECT a, 50000 + 1000 * CAST(a % 1000 AS
 w AS (SELECT f.key, f.a, f.b, coalesce(l.micro, 50000) AS micro FROM features f LEFT JOIN learnt l ON l.a = f.a)"""
 
 
+def _learnt_weights(features: DataFrame) -> DataFrame:
+    """feature_a, weight: made from the ids of every second feature."""
+    rest = F.pmod(F.col("feature_a"), F.lit(1000).cast("bigint"))
+    # The remainder of the unsigned word: 2^64 leaves 616.
+    unsigned = F.when(F.col("feature_a") < 0, F.pmod(rest + 616, F.lit(1000))).otherwise(rest)
+    return features.filter(F.col("feature_a").bitwiseAND(F.lit(1).cast("bigint")) == 0).select("feature_a", (0.05 + 0.001 * unsigned).alias("weight")).distinct()
+
+
 @query(f"WITH {_LEARNT}, states AS (SELECT key, {', '.join(f'''sum(CASE WHEN ({'a' if n < 64 else 'b'} >> {n % 64}) & 1 = 1 THEN micro ELSE -micro END) AS s{n}''' for n in range(128))} FROM w GROUP BY key) SELECT key AS doc_id, {_hex(_pack_sql(0))} || {_hex(_pack_sql(64))} AS simhash FROM states")
 def simhash_with_weights(spark, sf_dir):
     """Learnt weights (here made from the ids of every second feature), looked up by the first word."""
     features = document_features(spark, sf_dir)
-    rest = F.pmod(F.col("feature_a"), F.lit(1000).cast("bigint"))
-    # The remainder of the unsigned word: 2^64 leaves 616.
-    unsigned = F.when(F.col("feature_a") < 0, F.pmod(rest + 616, F.lit(1000))).otherwise(rest)
-    weights = features.filter(F.col("feature_a").bitwiseAND(F.lit(1).cast("bigint")) == 0).select("feature_a", (0.05 + 0.001 * unsigned).alias("weight")).distinct()
-    hashed = simhash.simhash128(simhash.with_weights(features, weights))
+    hashed = simhash.simhash128(simhash.with_weights(features, _learnt_weights(features)))
     return hashed.select(F.col("key").alias("doc_id"), hex128("hash_a", "hash_b").alias("simhash"))
 
 
@@ -268,8 +273,8 @@ def branching_nodes(spark, sf_dir):
 _STARTS = "starts AS (SELECT graph_id, min(src) AS start FROM edges GROUP BY ALL)"
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, {_STARTS}, walk(graph_id, start, node, hop) AS (
-  SELECT graph_id, start, start, 0 FROM starts UNION SELECT w.graph_id, w.start, e.dst, w.hop + 1 FROM walk w JOIN edges e ON e.graph_id = w.graph_id AND e.src = w.node WHERE w.hop < 29),
+@query(f"""WITH RECURSIVE {_EDGES}, {_STARTS}, sizes AS (SELECT graph_id, count(DISTINCT node) AS n FROM ends GROUP BY ALL), walk(graph_id, start, node, hop) AS (
+  SELECT graph_id, start, start, 0 FROM starts UNION SELECT w.graph_id, w.start, e.dst, w.hop + 1 FROM walk w JOIN edges e ON e.graph_id = w.graph_id AND e.src = w.node JOIN sizes s ON s.graph_id = w.graph_id WHERE w.hop < s.n),
 reached AS (SELECT graph_id, start, node, min(hop) AS hop FROM walk GROUP BY ALL)
 SELECT n.graph_id, s.start, n.node, CAST(coalesce(r.hop, -1) AS BIGINT) AS hop FROM (SELECT DISTINCT graph_id, node FROM ends) n JOIN starts s USING (graph_id) LEFT JOIN reached r ON r.graph_id = n.graph_id AND r.node = n.node""")
 def bfs_order(spark, sf_dir):
@@ -360,7 +365,12 @@ def user_graphs(spark, sf_dir) -> DataFrame:
 
 
 def document_functions(spark, sf_dir) -> DataFrame:
-    return document_hashes(spark, sf_dir).withColumnRenamed("key", "function_id")
+    """Hashed once: what follows reads them several times."""
+    return kept(document_hashes(spark, sf_dir).withColumnRenamed("key", "function_id"))
+
+
+def as_queries(functions: DataFrame) -> DataFrame:
+    return functions.select(F.col("function_id").alias("query_id"), F.col("hash_a").alias("qa"), F.col("hash_b").alias("qb"))
 
 
 @query(f"WITH {_HASHES}, {_ENTRIES} SELECT key AS function_id, CAST(perm AS BIGINT) AS perm, CAST(bucket AS BIGINT) AS bucket FROM entries")
@@ -378,7 +388,7 @@ def index_stats(spark, sf_dir):
 @query(f"WITH {_FOUND} SELECT query_id, function_id, CAST(distance AS BIGINT) AS distance, CAST(rank AS BIGINT) AS rank FROM best")
 def query_topn_lsh(spark, sf_dir):
     functions = document_functions(spark, sf_dir)
-    asked = functions.select(F.col("function_id").alias("query_id"), F.col("hash_a").alias("qa"), F.col("hash_b").alias("qb"))
+    asked = as_queries(functions)
     found = search.search_buckets(asked, functions, 5, PERMUTATIONS, distinct_ids=True)
     return found.select("query_id", "function_id", big("distance").alias("distance"), big("rank").alias("rank"))
 
@@ -388,23 +398,24 @@ def query_topn_lsh(spark, sf_dir):
   FROM hashes x JOIN hashes y ON x.key <> y.key) WHERE rank <= 5""")
 def query_topn_exact(spark, sf_dir):
     functions = document_functions(spark, sf_dir)
-    asked = functions.select(F.col("function_id").alias("query_id"), F.col("hash_a").alias("qa"), F.col("hash_b").alias("qb"))
+    asked = as_queries(functions)
     found = search.search_exact(asked, functions, 5, distinct_ids=True)
     return found.select("query_id", "function_id", big("distance").alias("distance"), big("rank").alias("rank"))
 
 
-@query(f"""WITH {_FOUND} SELECT b.query_id, b.function_id, CAST(128 - b.distance AS BIGINT) AS similarity, CAST(b.rank AS BIGINT) AS rank, d.source AS file_name, p.url AS function_name,
+@query(f"""WITH {_FOUND}, files AS (SELECT doc_id % 100 AS file_id, min(source) AS file_name FROM documents GROUP BY ALL)
+  SELECT b.query_id, b.function_id, CAST(128 - b.distance AS BIGINT) AS similarity, CAST(b.rank AS BIGINT) AS rank, f.file_name, p.url AS function_name, d.lang = 'en' AS vulnerable,
   round(greatest((128 - b.distance) / 128.0 - 0.5, 0) * 2, {ROUND}) AS report
-  FROM best b JOIN documents d ON d.doc_id = b.function_id LEFT JOIN pages p ON p.page_id = b.function_id WHERE 128 - b.distance > 0.8 * 128""")
+  FROM best b JOIN documents d ON d.doc_id = b.function_id JOIN files f ON f.file_id = d.doc_id % 100 LEFT JOIN pages p ON p.page_id = b.function_id WHERE 128 - b.distance > 0.8 * 128""")
 def match_with_metadata(spark, sf_dir):
     """The flagship: for each document the five most similar others above 80 % of the bits, with their metadata."""
     functions = document_functions(spark, sf_dir)
-    asked = functions.select(F.col("function_id").alias("query_id"), F.col("hash_a").alias("qa"), F.col("hash_b").alias("qb"))
+    asked = as_queries(functions)
     found = search.at_least(search.search_buckets(asked, functions, 5, PERMUTATIONS, distinct_ids=True))
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("function_id"), F.col("source").alias("file_name"))
-    names = table(spark, sf_dir, "pages").select(F.col("page_id").alias("function_id"), F.col("url").alias("function_name"))
-    named = found.join(files, "function_id").join(names, "function_id", "left")
-    return named.select("query_id", "function_id", big("similarity").alias("similarity"), big("rank").alias("rank"), "file_name", "function_name", F.round(search.report_scale("similarity"), ROUND).alias("report"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("file_id"), F.col("doc_id").alias("address"), F.col("source").alias("file_name"), (F.col("lang") == "en").alias("vulnerable"))
+    urls = table(spark, sf_dir, "pages").select(F.col("page_id").alias("address"), F.col("url").alias("function_name"))
+    named = search.with_metadata(found, functions.select("function_id", (F.col("function_id") % 100).alias("file_id"), F.col("function_id").alias("address")), docs.join(urls, "address", "left"))
+    return named.select("query_id", "function_id", big("similarity").alias("similarity"), big("rank").alias("rank"), "file_name", "function_name", "vulnerable", F.round(search.report_scale("similarity"), ROUND).alias("report"))
 
 
 def _odds_sql() -> str:
@@ -428,7 +439,7 @@ r AS (SELECT source, doc_id, i - row_number() OVER (PARTITION BY source ORDER BY
 SELECT source, min(doc_id) AS first, max(doc_id) AS last, count(*) AS length FROM r GROUP BY source, run""")
 def consecutive_matches(spark, sf_dir):
     functions = document_functions(spark, sf_dir)
-    asked = functions.select(F.col("function_id").alias("query_id"), F.col("hash_a").alias("qa"), F.col("hash_b").alias("qb"))
+    asked = as_queries(functions)
     top = search.search_buckets(asked, functions, 1, PERMUTATIONS, distinct_ids=True).select(F.col("query_id").alias("doc_id"), "similarity")
     placed = table(spark, sf_dir, "documents").select(F.col("source").alias("key"), "doc_id").join(top, "doc_id", "left").fillna(0, ["similarity"])
     return search.consecutive_matches(placed, "doc_id").withColumnRenamed("key", "source")
@@ -535,8 +546,8 @@ def roc_curve(spark, sf_dir):
 def relevant_count(spark, sf_dir):
     v = vector_hashes(spark, sf_dir)
     asked = v.groupBy("label").agg(F.min_by("hash_a", "vec_id").alias("qa")).select(F.col("label").alias("family"), "qa")
-    found = v.crossJoin(F.broadcast(asked)).filter(F.bit_count(F.col("hash_a").bitwiseXOR(F.col("qa"))) <= 26)
-    return found.groupBy("family").agg(F.sum((F.col("label") == F.col("family")).cast("int")).alias("relevant"), F.count(F.lit(1)).alias("results"))
+    found = v.crossJoin(F.broadcast(asked)).select("family", F.bit_count(F.col("hash_a").bitwiseXOR(F.col("qa"))).alias("distance"), (F.col("label") == F.col("family")).alias("relevant"))
+    return evaluate.relevant_counts(found, 26)
 
 
 @query("WITH f AS (SELECT source AS family, count(*) AS size FROM documents GROUP BY ALL HAVING count(*) >= 5) SELECT family, size FROM f ORDER BY md5('subset:' || family), family LIMIT 10")
@@ -617,21 +628,12 @@ def pair_loss(spark, sf_dir):
     pairs = chain.unionByName(training_data.repulsion_pairs(m).select("a", "b", F.lit(False).alias("attract")))
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     held = pairs.join(e.select(F.col("vec_id").alias("a"), F.col("v").alias("x")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("v").alias("y")), "b")
-    turn = F.when(F.col("attract"), 1.0).otherwise(-1.0)
-
-    def term(u, y):
-        p, d = u * y, u - y
-        return (1 - p / F.sqrt(p * p + 1)) * F.sqrt(F.sqrt(d * d + 0.1) + 0.01)
-
-    loss = F.aggregate(F.zip_with("x", "y", lambda x, y: term(x * turn, y)), F.lit(0.0), lambda s, v: s + v)
-    return held.select("a", "b", "attract", F.round(loss, 4).alias("loss"))
+    return train.pair_losses(held).select("a", "b", "attract", F.round("loss", 4).alias("loss"))
 
 
 @query()
 def weights_training_step(spark, sf_dir):
     """One gradient step on event-trigram features: families are users modulo 10."""
-    from .operators import train
-
     grams = sequences.trigrams(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), "event_type").withColumnRenamed("user_id", "key")
     features = sequences.native_features(grams).select("key", "feature_a", "feature_b")
     users = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.col("user_id") % 10).alias("family")).distinct()
@@ -654,3 +656,217 @@ def graph_dot(spark, sf_dir):
     return dot_lines(user_edges(spark, sf_dir)).withColumnRenamed("value", "dot")
 
 
+
+
+# --- more of the operators, each with SQL of its own -----------------------------------------------------------
+
+
+@query(f"""WITH {_EDGES}, u AS (SELECT graph_id, src, dst FROM edges UNION SELECT graph_id, dst, src FROM edges),
+h0 AS (SELECT DISTINCT graph_id, node AS center, node FROM ends),
+h1 AS (SELECT * FROM h0 UNION SELECT h.graph_id, center, dst FROM h0 h JOIN u ON u.graph_id = h.graph_id AND u.src = h.node),
+h2 AS (SELECT * FROM h1 UNION SELECT h.graph_id, center, dst FROM h1 h JOIN u ON u.graph_id = h.graph_id AND u.src = h.node),
+every AS (SELECT 1 AS radius, * FROM h1 UNION ALL SELECT 2, * FROM h2),
+b AS (SELECT * FROM every QUALIFY count(*) OVER (PARTITION BY graph_id, radius, center) <= 30)
+SELECT x.graph_id, CAST(x.radius AS BIGINT) AS radius, x.center, count(*) AS edges FROM b x JOIN b y ON y.graph_id = x.graph_id AND y.radius = x.radius AND y.center = x.center
+JOIN edges e ON e.graph_id = x.graph_id AND e.src = x.node AND e.dst = y.node GROUP BY ALL""")
+def khop_induced_edges(spark, sf_dir):
+    """Edges inside each ball of one or two hops."""
+    edges = user_edges(spark, sf_dir)
+    found = graph.induced_edges(graph.balls(edges, radius=2), edges)
+    return found.groupBy("graph_id", big("radius").alias("radius"), "center").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query(f"""WITH {_EDGES}, {_STARTS} SELECT 'out' AS way, e.graph_id, e.src, e.dst, CAST(e.ord AS BIGINT) AS ord FROM edges e JOIN starts s ON s.graph_id = e.graph_id AND e.src = s.start
+UNION ALL SELECT 'in', e.graph_id, e.src, e.dst, CAST(e.ord AS BIGINT) FROM edges e JOIN starts s ON s.graph_id = e.graph_id AND e.dst = s.start""")
+def start_node_edges(spark, sf_dir):
+    """Edges out of and into each graph's start."""
+    edges = user_edges(spark, sf_dir)
+    placed = edges.join(edges.groupBy("graph_id").agg(F.min("src").alias("start")), "graph_id")
+    out = [f(placed, F.col("start")).select(F.lit(way).alias("way"), "graph_id", "src", "dst", big("ord").alias("ord")) for way, f in (("out", graph.out_edges), ("in", graph.in_edges))]
+    return out[0].unionByName(out[1])
+
+
+_BLOCKS = """steps AS (SELECT user_id, ts, event_id, ('0x' || substr(md5(event_type), 1, 6))::BIGINT * 6 + hour(ts) // 4 AS address, event_type, json_extract_string(props, '$.k') AS k FROM events),
+blocks AS (SELECT *, row_number() OVER (PARTITION BY user_id, address ORDER BY ts DESC, event_id DESC) AS behind FROM steps)"""
+
+
+@query(f"""WITH {_BLOCKS}, v AS (SELECT user_id, address, ('0x' || k)::BIGINT AS v FROM blocks WHERE behind > 1 AND k IS NOT NULL)
+SELECT user_id, address, lpad(lower(hex(v)), 16, '0') AS value, count(*) AS n FROM v WHERE v > 16384 OR (v % 4 <> 0 AND v > 10) GROUP BY ALL""")
+def block_constants(spark, sf_dir):
+    """Useful constants of all but each block's last instruction; a user's events at one address are a block."""
+    blocks = user_graphs(spark, sf_dir).select(F.col("graph_id").alias("key"), F.explode("nodes").alias("n")).select("key", big("n.address").alias("address"), "n.instructions")
+    found = sequences.immediates(blocks)
+    return found.groupBy(F.col("key").alias("user_id"), "address", hex64("value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_BLOCKS}, t AS (SELECT user_id, address, count(*) AS n, string_agg(chr(9) || chr(9) || event_type || ' ' || coalesce(k, ''), chr(10) ORDER BY ts, event_id) AS body FROM blocks GROUP BY ALL),
+b AS (SELECT user_id, address, chr(9) || '[' || lower(hex(address)) || '] (' || n || ')' || chr(10) || body AS body FROM t)
+SELECT user_id, '[' || lower(hex(min(address))) || ']' || chr(10) || string_agg(body, chr(10) ORDER BY address) AS listing FROM b GROUP BY ALL""")
+def disassembly_text(spark, sf_dir):
+    from .sources.writers import disassembly
+
+    nodes = user_graphs(spark, sf_dir).select("graph_id", F.explode("nodes").alias("n")).select("graph_id", big("n.address").alias("address"), "n.instructions")
+    return disassembly(nodes).select(F.col("graph_id").alias("user_id"), F.col("value").alias("listing"))
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '_') || '( Baz*, int)' AS stem FROM part")
+def stem_symbols(spark, sf_dir):
+    """Return types and calling conventions go, what stands in brackets stays together."""
+    from .functions.symbols import stem_symbol
+
+    name = F.concat(F.lit("public: unsigned int __cdecl "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("(class Baz *,int)"))
+    return table(spark, sf_dir, "part").select("p_partkey", stem_symbol(name).alias("stem"))
+
+
+@query("""WITH w AS (SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 16))::UBIGINT::HUGEINT AS x FROM documents)
+SELECT doc_id, lpad(lower(hex(((x * 128) % 18446744073709551616 + x // 144115188075855872)::UBIGINT)), 16, '0') AS by7, lpad(lower(hex(((x * 8192) % 18446744073709551616 + x // 2251799813685248)::UBIGINT)), 16, '0') AS by13 FROM w""")
+def rotated_words(spark, sf_dir):
+    from .functions.bits import md5_words, rotl64
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", md5_words(F.col("doc_id").cast("string"))[0].alias("x"))
+    return docs.select("doc_id", hex64(rotl64("x", 7)).alias("by7"), hex64(rotl64("x", 13)).alias("by13"))
+
+
+@query(f"WITH {_FOUND} SELECT query_id, function_id, CAST(128 - distance AS BIGINT) AS similarity FROM best WHERE 128 - distance > 0.9 * 128")
+def search_with_minimum(spark, sf_dir):
+    functions = document_functions(spark, sf_dir)
+    found = search.at_least(search.search_buckets(as_queries(functions), functions, 5, PERMUTATIONS, distinct_ids=True), 0.9)
+    return found.select("query_id", "function_id", big("similarity").alias("similarity"))
+
+
+_HEADS = "q AS (SELECT label, min(vec_id) AS vec_id FROM vectors GROUP BY label)"
+
+
+def _cut_sql(results: str) -> str:
+    return f"""cut AS (SELECT t, family, sum(CASE WHEN relevant AND distance <= t THEN 1 ELSE 0 END) AS good, sum(CASE WHEN NOT relevant AND distance <= t THEN 1 ELSE 0 END) AS bad,
+  sum(CASE WHEN relevant THEN 1 ELSE 0 END) AS ag, sum(CASE WHEN relevant THEN 0 ELSE 1 END) AS ab FROM {results}, range(128) AS s(t) GROUP BY ALL)
+SELECT t AS threshold, round(avg(CASE WHEN ag > 0 THEN good / ag END), {ROUND}) AS tpr, round(avg(CASE WHEN ab > 0 THEN bad / ab END), {ROUND}) AS fpr, round(avg(CASE WHEN good + bad > 0 THEN bad / (good + bad) END), {ROUND}) AS irr FROM cut GROUP BY t"""
+
+
+_VECTOR_ENTRIES = "entries AS (" + " UNION ALL ".join(f"SELECT vec_id, label, a, {k} AS perm, CAST({_bucket_sql(p).replace('(b >>', '(0::UBIGINT >>')} AS INTEGER) AS bucket FROM vectors" for k, p in enumerate(bucket_positions(PERMUTATIONS))) + ")"
+
+
+@query(f"""WITH {_VECTORS}, {_HEADS}, {_VECTOR_ENTRIES}, r AS (
+  SELECT DISTINCT x.label AS family, y.vec_id, bit_count(xor(x.a, y.a)) AS distance, y.label = x.label AS relevant FROM entries x JOIN q ON q.vec_id = x.vec_id JOIN entries y ON x.perm = y.perm AND x.bucket = y.bucket),
+{_cut_sql('r')}""")
+def roc_curve_buckets(spark, sf_dir):
+    """As roc_curve, by bucket search of up to 200000 results, whose labels are joined to them."""
+    v = kept(vector_hashes(spark, sf_dir))
+    functions = v.select(F.col("vec_id").alias("function_id"), "hash_a", F.lit(0).cast("bigint").alias("hash_b"))
+    heads = v.groupBy("label").agg(F.min("vec_id").alias("function_id")).join(functions, "function_id")
+    found = search.search_buckets(as_queries(heads), functions, 200_000, PERMUTATIONS)
+    labels = [v.select(F.col("vec_id").alias(k), F.col("label").alias(n)) for k, n in (("query_id", "family"), ("function_id", "label"))]
+    named = found.join(labels[0], "query_id").join(labels[1], "function_id").select("family", "distance", (F.col("label") == F.col("family")).alias("relevant"))
+    curve = evaluate.roc(named, spark)
+    return curve.select(big("threshold").alias("threshold"), *[F.round(c, ROUND).alias(c) for c in ("tpr", "fpr", "irr")])
+
+
+_SOURCE_PAIRS = """m AS (SELECT doc_id AS key, source AS family FROM documents),
+c AS (SELECT key AS x, lead(key) OVER (PARTITION BY family ORDER BY md5('chain:' || key), key) AS y FROM m),
+o AS (SELECT key, family, ('0x' || substr(md5('repulse-block:' || key), 1, 8))::BIGINT % 64 AS block FROM m),
+n AS (SELECT key AS x, family AS fx, lead(key) OVER w AS y, lead(family) OVER w AS fy FROM o WINDOW w AS (PARTITION BY block ORDER BY md5('repulse:' || key), key)),
+pairs AS (SELECT least(x, y) AS a, greatest(x, y) AS b, true AS attract FROM c WHERE y IS NOT NULL UNION ALL SELECT DISTINCT least(x, y), greatest(x, y), false FROM n WHERE y IS NOT NULL AND fx <> fy)"""
+_LEARNT_SUMS = ", ".join(f"sum(CASE WHEN ({'a' if n < 64 else 'b'} >> {n % 64}) & 1 = 1 THEN micro ELSE -micro END) AS s{n}" for n in range(128))
+
+
+@query(f"""WITH {_LEARNT}, {_SOURCE_PAIRS}, plain AS (SELECT key, {_SUMS} FROM features GROUP BY key), learned AS (SELECT key, {_LEARNT_SUMS} FROM w GROUP BY key),
+h AS (SELECT false AS trained, key, {_pack_sql(0)} AS a, {_pack_sql(64)} AS b FROM plain UNION ALL SELECT true, key, {_pack_sql(0)}, {_pack_sql(64)} FROM learned)
+SELECT x.trained, p.attract, CAST({_DISTANCE} AS BIGINT) AS distance, count(*) AS pairs FROM pairs p JOIN h x ON x.key = p.a JOIN h y ON y.key = p.b AND y.trained = x.trained GROUP BY ALL""")
+def trained_and_untrained_distances(spark, sf_dir):
+    """Distances of pairs of one source and of two, under default and under learnt weights."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("family"))
+    pairs = training_data.chain_pairs(docs).select("a", "b", F.lit(True).alias("attract")).unionByName(training_data.repulsion_pairs(docs).select("a", "b", F.lit(False).alias("attract")))
+    features = kept(document_features(spark, sf_dir))
+    found = []
+    for trained, weights in ((False, None), (True, _learnt_weights(features))):
+        hashes = simhash.simhash128(simhash.with_weights(features, weights))
+        distances = evaluate.pair_distances(pairs, hashes).withColumn("trained", F.lit(trained))
+        found.append(evaluate.histogram(distances, "trained", "attract").select("trained", "attract", big("distance").alias("distance"), "pairs"))
+    return found[0].unionByName(found[1])
+
+
+def _training_sql(split: str) -> str:
+    return f"""WITH {_MEMBERS}, s AS ({split}),
+attract AS (SELECT x.validation, x.key AS a, y.key AS b FROM s x JOIN s y ON x.family = y.family AND x.validation = y.validation AND x.key < y.key QUALIFY row_number() OVER (PARTITION BY x.validation ORDER BY md5('attract:' || x.key || ':' || y.key), x.key, y.key) <= 1000),
+blocks AS (SELECT key, family, validation, ('0x' || substr(md5('repulse-block:' || key), 1, 8))::BIGINT % 64 AS block FROM s),
+c AS (SELECT validation, key AS x, family AS fx, lead(key) OVER w AS y, lead(family) OVER w AS fy FROM blocks WINDOW w AS (PARTITION BY validation, block ORDER BY md5('repulse:' || key), key)),
+r AS (SELECT DISTINCT validation, least(x, y) AS a, greatest(x, y) AS b FROM c WHERE y IS NOT NULL AND fx <> fy),
+sizes AS (SELECT validation, count(*) AS n FROM attract GROUP BY ALL),
+repulse AS (SELECT r.validation, a, b FROM r JOIN sizes z ON z.validation = r.validation QUALIFY row_number() OVER (PARTITION BY r.validation ORDER BY md5('match:' || a || ':' || b), a, b) <= max(n) OVER (PARTITION BY r.validation))
+SELECT validation, true AS attract, a, b FROM attract UNION ALL SELECT validation, false, a, b FROM repulse"""
+
+
+@query(_training_sql("SELECT key, family, ('0x' || substr(md5('split:' || family), 1, 8))::BIGINT % 100 < 20 AS validation FROM m"))
+def unseen_training_sets(spark, sf_dir):
+    """Pairs to train on and to validate with, of families that the other set doesn't hold."""
+    return training_data.training_sets(training_data.split_families(members(spark, sf_dir)), most=1000)
+
+
+@query(_training_sql("SELECT key, family, row_number() OVER (PARTITION BY family ORDER BY md5('seen:' || key), key) = 1 AND count(*) OVER (PARTITION BY family) > 1 AS validation FROM m").replace("x.family = y.family AND x.validation = y.validation AND x.key < y.key", "x.family = y.family AND x.key < y.key AND (NOT x.validation AND NOT y.validation OR x.validation <> y.validation)").replace("SELECT x.validation, x.key AS a", "SELECT x.validation OR y.validation AS validation, x.key AS a").replace("PARTITION BY x.validation ORDER", "PARTITION BY x.validation OR y.validation ORDER"))
+def seen_training_sets(spark, sf_dir):
+    """A member of each family validates, against the members that train."""
+    return training_data.training_sets(training_data.seen_split(members(spark, sf_dir)), most=1000, across=True)
+
+
+@query(f"WITH {_FEATURES} SELECT DISTINCT {_hex('a')} AS feature, CAST(round(0.05 + 0.001 * (a % 1000), 3) AS DOUBLE) AS weight FROM features WHERE a % 2 = 0")
+def weights_file_round_trip(spark, sf_dir):
+    """Learnt weights as lines of a weights file, and parsed again."""
+    from .sources.readers import parse_weights
+    from .sources.writers import weight_lines
+
+    features = document_features(spark, sf_dir)
+    weights = _learnt_weights(features).withColumn("feature_b", F.lit(0).cast("bigint"))
+    parsed = parse_weights(weight_lines(weights).withColumn("line", F.lit(0)))
+    return parsed.select(hex64("feature_a").alias("feature"), F.round(F.col("weight").cast("double"), 3).alias("weight"))
+
+
+@query(f"WITH {_HASHES} SELECT CAST(0 AS BIGINT) AS perm, {_hex('a')} || {_hex('b')} AS hash, key AS address FROM hashes")
+def index_dump_round_trip(spark, sf_dir):
+    """The index as lines of a dump, and parsed again."""
+    from .sources.readers import parse_index_dump
+    from .sources.writers import index_dump_lines
+
+    held = document_hashes(spark, sf_dir).select(F.lit(0).alias("perm"), "hash_a", "hash_b", F.lit(7).cast("bigint").alias("file_id"), F.col("key").alias("address"))
+    return parse_index_dump(index_dump_lines(held)).select(big("perm").alias("perm"), hex128("hash_a", "hash_b").alias("hash"), "address")
+
+
+@query("SELECT doc_id AS address, source AS file_name, 'f ' || doc_id AS function_name, lang = 'en' AS vulnerable FROM documents")
+def metadata_round_trip(spark, sf_dir):
+    from .sources.readers import parse_metadata
+    from .sources.writers import metadata_lines
+
+    docs = table(spark, sf_dir, "documents").select(F.lit(7).cast("bigint").alias("file_id"), F.col("source").alias("file_name"), F.col("doc_id").alias("address"), F.concat(F.lit("f "), F.col("doc_id").cast("string")).alias("function_name"), (F.col("lang") == "en").alias("vulnerable"))
+    return parse_metadata(metadata_lines(docs)).select("address", "file_name", "function_name", "vulnerable")
+
+
+@query(f"WITH {_REPULSION} SELECT a, b FROM repulse")
+def pairs_round_trip(spark, sf_dir):
+    from .sources.readers import parse_pairs
+    from .sources.writers import pair_lines
+
+    pairs = training_data.repulsion_pairs(members(spark, sf_dir)).select(F.lit(1).cast("bigint").alias("file_a"), F.col("a").alias("address_a"), F.lit(2).cast("bigint").alias("file_b"), F.col("b").alias("address_b"))
+    return parse_pairs(pair_lines(pairs)).select(F.col("address_a").alias("a"), F.col("address_b").alias("b"))
+
+
+@query(f"WITH {_HASHES} SELECT '0000000000000007:' || {_hex('key')} || ' ' || {_hex('a')} || {_hex('b')} AS line FROM hashes")
+def fingerprint_dump(spark, sf_dir):
+    from .sources.writers import fingerprint_lines
+
+    return fingerprint_lines(document_hashes(spark, sf_dir).select(F.lit(7).cast("bigint").alias("file_id"), F.col("key").alias("address"), "hash_a", "hash_b")).withColumnRenamed("value", "line")
+
+
+@query(f"WITH {_FEATURES} SELECT {_hex('a')} || {_hex('b')} AS feature, 'mnemonic' AS feature_type, min(feature) AS payload, count(*) AS functions FROM features GROUP BY ALL")
+def feature_dictionary(spark, sf_dir):
+    """Distinct features with what they stand for."""
+    features = sequences.described_features(sequences.text_trigrams(table(spark, sf_dir, "documents")))
+    found = features.groupBy("feature_a", "feature_b", "feature_type").agg(F.min("payload").alias("payload"), F.count(F.lit(1)).alias("functions"))
+    return found.select(hex128("feature_a", "feature_b").alias("feature"), "feature_type", "payload", "functions")
+
+
+@query("""SELECT d.source AS file_name, d.doc_id AS address, lower(p.url) AS function_name FROM documents d JOIN pages p ON p.page_id = d.doc_id WHERE len(regexp_extract_all(d.text, '[^ \t\r\n]+')) >= 3""")
+def symbols_with_code(spark, sf_dir):
+    """Symbols (here pages) of functions (documents) that were found."""
+    functions = document_hashes(spark, sf_dir).select(F.lit(1).alias("file_id"), F.col("key").alias("address"))
+    names = table(spark, sf_dir, "pages").select(F.lit(1).alias("file_id"), F.col("page_id").alias("address"), F.col("url").alias("function_name"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("address"), F.col("source").alias("file_name"))
+    return training_data.symbols_with_code(names, functions).join(docs, "address").select("file_name", "address", F.lower("function_name").alias("function_name"))

@@ -41,7 +41,7 @@ def find_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """tokens: each line split at blanks; empty tokens within a line stay, trailing ones go."""
-    return spark.read.text(path).select(F.split(F.regexp_replace("value", " +$", ""), " ").alias("tokens"))
+    return _tokens(spark.read.text(path))
 
 
 def _function(text) -> tuple[Column, Column]:
@@ -60,16 +60,31 @@ def feature_set(functions: DataFrame) -> DataFrame:
     return functions.select("feature_a", "feature_b").distinct().orderBy("feature_a", "feature_b")
 
 
+def _tokens(lines: DataFrame) -> DataFrame:
+    return lines.select(F.split(F.regexp_replace("value", " +$", ""), " ").alias("tokens"))
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """file_a, address_a, file_b, address_b of a pair file."""
-    tokens = read_lines(spark, path)
+    return parse_pairs(spark.read.text(path))
+
+
+def parse_pairs(lines: DataFrame) -> DataFrame:
+    tokens = _tokens(lines)
     (fa, aa), (fb, ab) = _function(F.get("tokens", 0)), _function(F.get("tokens", 1))
     return tokens.select(fa.alias("file_a"), aa.alias("address_a"), fb.alias("file_b"), ab.alias("address_b")).filter("file_b is not null")
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
-    """feature_a, weight: keys are the first word of a 32- or 35-character id, or 16 digits; the last line of a key counts."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    """feature_a, weight: keys are the first word of a 32- or 35-character id, or 16 digits; the last line of a key counts.
+
+    Lines are read in splits; their order is that of the splits in the file and of the lines within one."""
+    read = spark.read.text(path)
+    return parse_weights(read.select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("line")))
+
+
+def parse_weights(lines: DataFrame) -> DataFrame:
+    """lines: value, and line, which orders them."""
     parts = F.split("value", " ")
     name = F.get(parts, 0)
     key = F.when(F.length(name) == 16, parse_hex64(name)).when(F.length(name).isin(32, 35), parse_feature_hash(name)[0])
@@ -79,15 +94,23 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """file_id, file_name, address, function_name, vulnerable; lines without five parts are left out."""
+    return parse_metadata(spark.read.text(path))
+
+
+def parse_metadata(lines: DataFrame) -> DataFrame:
     parts = F.split("value", " ")
-    lines = spark.read.text(path).filter(F.size(parts) == 5)
+    lines = lines.filter(F.size(parts) == 5)
     return lines.select(parse_hex64(parts[0]).alias("file_id"), parts[1].alias("file_name"), parse_hex64(parts[2]).alias("address"), decode_name(parts[3]).alias("function_name"), (F.lower(parts[4]) == "true").alias("vulnerable"))
 
 
-def read_index_dump(spark: SparkSession, path: str, headers: int = 3) -> DataFrame:
+def read_index_dump(spark: SparkSession, path: str) -> DataFrame:
     """perm, hash_a, hash_b, file_id, address of a text dump; header lines don't parse and go."""
+    return parse_index_dump(spark.read.text(path))
+
+
+def parse_index_dump(lines: DataFrame) -> DataFrame:
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).filter(F.size(parts) == 5).select(parts[0].try_cast("int").alias("perm"), *[parse_hex64(parts[i]).alias(n) for i, n in ((1, "hash_a"), (2, "hash_b"), (3, "file_id"), (4, "address"))])
+    rows = lines.filter(F.size(parts) == 5).select(parts[0].try_cast("int").alias("perm"), *[parse_hex64(parts[i]).alias(n) for i, n in ((1, "hash_a"), (2, "hash_b"), (3, "file_id"), (4, "address"))])
     return rows.dropna()
 
 

@@ -97,6 +97,18 @@ def test_known_hash():
     assert R.simhash(R.function_features(graph, mnemonics, [])) == (0xACEB07449170DFCF, 0x56DF46C771E9A4DF)
 
 
+def test_graph_hashes_in_step_equal_single_ones():
+    import random
+
+    rng = random.Random(4)
+    graphs = [R.Graph(range(rng.randint(1, 9)), [(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randint(0, 14))]) for _ in range(30)]
+    balls = [g.tuples(g.nodes[0]) for g in graphs]
+    numbers = np.array([edge for ball in balls for edges in ball for edge in edges], np.int64).reshape(-1, 10)
+    factors = np.array([[R.seed(i, n % 5) for i in range(3)] for n in range(30)], np.uint64)
+    found = R.structural_hashes(numbers, np.array([len(e) for ball in balls for e in ball]), np.array([len(b) for b in balls]), factors)
+    assert found.tolist() == [R.structural_hash(ball, tuple(f)) for ball, f in zip(balls, factors.tolist(), strict=True)]
+
+
 def test_features_of_a_function_are_unique():
     graph = R.Graph([n for n, _ in GRAPH], EDGES)
     found = [f[2:] for f in R.function_features(graph, ["mov"] * 40, [5, 5, 7, 5])]

@@ -78,6 +78,46 @@ def test_graph_operators(spark):
     assert sizes == {(g, k, c): len(b.nodes) for g, p in plain.items() for k in (1, 2, 3) for c in p.nodes if (b := p.ball(c, k, 5))}
 
 
+def test_walks_have_no_cap(spark):
+    """A chain of 41 nodes, a cycle at its end, and a node that nothing leads to."""
+    edges = spark.createDataFrame([(0, i, i + 1, i) for i in range(40)] + [(0, 40, 35, 40), (0, 99, 0, 41)], "graph_id int, src bigint, dst bigint, ord int")
+    starts = spark.createDataFrame([(0, 0)], "graph_id int, start bigint")
+    assert {r.node: r.hop for r in graph.bfs_order(edges, starts).collect()} == {i: i for i in range(41)} | {99: -1}
+
+
+def test_edges_inside_balls(spark):
+    graphs = small_graphs(6)
+    edges = edge_frame(spark, graphs)
+    found = {(r.graph_id, r.radius, r.center): r.n for r in graph.induced_edges(graph.balls(edges, 2), edges).groupBy("graph_id", "radius", "center").agg(F.count("*").alias("n")).collect()}
+    plain = {g: R.Graph([], es) for g, es in graphs.items()}
+    assert found == {(g, k, c): n for g, p in plain.items() for k in (1, 2) for c in p.nodes if (n := sum(map(len, p.ball(c, k, 30).out.values())))}
+
+
+def test_text_hash_equals_the_hash_of_feature_rows(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcd") * rng.randint(1, 2) for _ in range(n)) for n in (0, 2, 3, 40, 400)] + [None, "ä  ö\tü\nß ä ö ü"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {tuple(r) for r in simhash.simhash128(simhash.with_weights(sequences.native_features(sequences.text_trigrams(docs)))).collect()}
+    assert {tuple(r) for r in simhash.text_simhash(docs).collect()} == want and len(want) == 4
+
+
+def test_blocks_don_t_change_the_nearest(spark, monkeypatch):
+    """Small blocks and turns, equal hashes: the same rows as one block, and as a sweep in plain Python."""
+    rows, functions = random_hashes(spark, 60)
+    functions = functions.unionByName(spark.createDataFrame([(100 + i, rows[0][1], rows[0][2]) for i in range(9)], functions.schema))
+    asked = functions.select(F.col("function_id").alias("query_id"), F.col("hash_a").alias("qa"), F.col("hash_b").alias("qb"))
+    held = [(r.function_id, r.hash_a, r.hash_b) for r in functions.collect()]
+    want = set()
+    for q, a, b in held:
+        near = sorted((((a ^ x) & R.MASK).bit_count() + ((b ^ y) & R.MASK).bit_count(), f) for f, x, y in held if f != q)[:5]
+        want |= {(q, i + 1, f, d) for i, (d, f) in enumerate(near)}
+    whole = {(r.query_id, r.rank, r.function_id, r.distance) for r in search.search_buckets(asked, functions, 5, distinct_ids=True).collect()}
+    monkeypatch.setattr(search, "BLOCK", 7)
+    monkeypatch.setattr(search, "TURN", 3)
+    assert {(r.query_id, r.rank, r.function_id, r.distance) for r in search.search_exact(asked, functions, 5, distinct_ids=True).collect()} == want
+    assert {(r.query_id, r.rank, r.function_id, r.distance) for r in search.search_buckets(asked, functions, 5, distinct_ids=True).collect()} == whole
+
+
 def as_rows(spark, graphs):
     text = [(g, json.dumps({"name": "CFG", "nodes": [{"address": n, "instructions": [{"mnemonic": "mov", "operands": ["EAX", "4001h"]}, {"mnemonic": "jmp", "operands": ["1234567"]}]} for n in sorted({x for e in es for x in e})], "edges": [{"source": s, "destination": d} for s, d in es]})) for g, es in graphs.items()]
     return spark.createDataFrame(text, "graph_id bigint, value string").select("graph_id", readers.parse_graph("value").alias("graph"))
