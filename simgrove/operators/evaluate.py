@@ -49,15 +49,21 @@ def relevant_counts(distances: DataFrame, most: int) -> DataFrame:
     return distances.filter(F.col("distance") <= most).groupBy("family").agg(F.sum(F.col("relevant").cast("int")).alias("relevant"), F.count(F.lit(1)).alias("results"))
 
 
-def roc(distances: DataFrame, spark: SparkSession) -> DataFrame:
+def roc(distances: DataFrame, spark: SparkSession, totals: DataFrame | None = None) -> DataFrame:
     """threshold 0 to 127, tpr, fpr, irr: macro-averaged over families.
 
-    distances: family, distance, relevant (boolean), one row per search result. The results meet in a histogram
-    per family first, so the threshold table multiplies 129 rows per family and not the results."""
+    distances: family, distance, relevant (boolean), one row per search result. totals: family, all_good, all_bad, what
+    could have been found; without it the results are all there is. A family that has totals and no results counts with
+    rates of 0. The results meet in a histogram per family first, so the threshold table multiplies 129 rows per family
+    and not the results."""
     per = distances.groupBy("family", "distance").agg(F.sum(F.col("relevant").cast("int")).alias("good"), F.sum((~F.col("relevant")).cast("int")).alias("bad"))
     steps = spark.range(128).select(F.col("id").cast("int").alias("threshold"))
     within = F.col("distance") <= F.col("threshold")
-    cut = per.crossJoin(F.broadcast(steps)).groupBy("family", "threshold").agg(F.sum(F.when(within, F.col("good")).otherwise(0)).alias("good"), F.sum(F.when(within, F.col("bad")).otherwise(0)).alias("bad"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+    cut = per.crossJoin(F.broadcast(steps)).groupBy("family", "threshold").agg(F.sum(F.when(within, F.col("good")).otherwise(0)).alias("good"), F.sum(F.when(within, F.col("bad")).otherwise(0)).alias("bad"))
+    if totals is None:
+        totals = per.groupBy("family").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+    every = totals.crossJoin(F.broadcast(steps))
+    cut = every.join(cut, ["family", "threshold"], "left").fillna(0, ["good", "bad"])
     rate = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y))
     cut = cut.select("threshold", rate("good", "all_good").alias("tpr"), rate("bad", "all_bad").alias("fpr"), F.when(F.col("good") + F.col("bad") > 0, F.col("bad") / (F.col("good") + F.col("bad"))).alias("irr"))
     return cut.groupBy("threshold").agg(F.avg("tpr").alias("tpr"), F.avg("fpr").alias("fpr"), F.avg("irr").alias("irr"))

@@ -528,26 +528,48 @@ def distance_matrix_stats(spark, sf_dir):
 
 _RESULTS = f"""{_VECTORS}, q AS (SELECT label, min(vec_id) AS vec_id FROM vectors GROUP BY label),
 r AS (SELECT x.label AS family, bit_count(xor(x.a, y.a)) AS distance, y.label = x.label AS relevant FROM q JOIN vectors x USING (vec_id, label) CROSS JOIN vectors y)"""
+_REPORTED = 200_000
+_ROC = f"""{_RESULTS}, hashes AS (SELECT vec_id AS key, a, 0::UBIGINT AS b FROM vectors), {_ENTRIES},
+bucketed AS (SELECT DISTINCT x.key AS query_id, y.key AS function_id, bit_count(xor(x.a, y.a)) AS distance FROM entries x JOIN q ON q.vec_id = x.key JOIN entries y ON x.perm = y.perm AND x.bucket = y.bucket),
+near AS (SELECT * FROM bucketed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, function_id) <= {_REPORTED}),
+ra AS (SELECT q.label AS family, n.distance, v.label = q.label AS relevant FROM near n JOIN q ON q.vec_id = n.query_id JOIN vectors v ON v.vec_id = n.function_id),
+totals AS (SELECT family, sum(CASE WHEN relevant THEN 1 ELSE 0 END) AS ag, sum(CASE WHEN relevant THEN 0 ELSE 1 END) AS ab FROM r GROUP BY ALL),
+every AS (SELECT 'exact' AS kind, * FROM r UNION ALL SELECT 'approx', * FROM ra),
+cut AS (SELECT t, kind, family, sum(CASE WHEN relevant AND distance <= t THEN 1 ELSE 0 END) AS good, sum(CASE WHEN NOT relevant AND distance <= t THEN 1 ELSE 0 END) AS bad FROM every, range(128) AS s(t) GROUP BY ALL),
+rates AS (SELECT t, kind, CASE WHEN ag > 0 THEN good / ag END AS tpr, CASE WHEN ab > 0 THEN bad / ab END AS fpr, CASE WHEN good + bad > 0 THEN bad / (good + bad) END AS irr FROM cut JOIN totals USING (family))"""
 
 
-@query(f"""WITH {_RESULTS}, cut AS (SELECT t, family, sum(CASE WHEN relevant AND distance <= t THEN 1 ELSE 0 END) AS good, sum(CASE WHEN NOT relevant AND distance <= t THEN 1 ELSE 0 END) AS bad,
-  sum(CASE WHEN relevant THEN 1 ELSE 0 END) AS ag, sum(CASE WHEN relevant THEN 0 ELSE 1 END) AS ab FROM r, range(128) AS s(t) GROUP BY ALL)
-SELECT t AS threshold, round(avg(CASE WHEN ag > 0 THEN good / ag END), {ROUND}) AS tpr, round(avg(CASE WHEN ab > 0 THEN bad / ab END), {ROUND}) AS fpr, round(avg(CASE WHEN good + bad > 0 THEN bad / (good + bad) END), {ROUND}) AS irr FROM cut GROUP BY t""")
+def _family_heads(spark, sf_dir) -> DataFrame:
+    """family, query_id, qa, qb: one query for each family, its least member."""
+    heads = vector_hashes(spark, sf_dir).groupBy("label").agg(F.min_by(F.struct("vec_id", "hash_a"), "vec_id").alias("head"))
+    return heads.select(F.col("label").alias("family"), F.col("head.vec_id").alias("query_id"), F.col("head.hash_a").alias("qa"), F.lit(0).cast("bigint").alias("qb"))
+
+
+def _family_results(spark, sf_dir) -> DataFrame:
+    """family, distance, relevant: every family's query against all vectors; Spark broadcasts the queries where its threshold allows."""
+    found = vector_hashes(spark, sf_dir).crossJoin(_family_heads(spark, sf_dir).select("family", "qa"))
+    return found.select("family", F.bit_count(F.col("hash_a").bitwiseXOR(F.col("qa"))).alias("distance"), F.equal_null("label", "family").alias("relevant"))
+
+
+@query("WITH " + _ROC + ", ".join([" SELECT t AS threshold", *[f"round(avg({m}) FILTER (kind = '{k}'), {ROUND}) AS {m}_{k}" for k in ("exact", "approx") for m in ("tpr", "fpr", "irr")]]) + " FROM rates GROUP BY t")
 def roc_curve(spark, sf_dir):
-    """One query per family (its least member) against all vectors."""
-    v = vector_hashes(spark, sf_dir)
-    asked = v.groupBy("label").agg(F.min_by("hash_a", "vec_id").alias("qa")).select(F.col("label").alias("family"), "qa")
-    found = v.crossJoin(F.broadcast(asked)).select("family", F.bit_count(F.col("hash_a").bitwiseXOR(F.col("qa"))).alias("distance"), (F.col("label") == F.col("family")).alias("relevant"))
-    curve = evaluate.roc(found, spark)
-    return curve.select(big("threshold").alias("threshold"), *[F.round(c, ROUND).alias(c) for c in ("tpr", "fpr", "irr")])
+    """Rates of exact and of bucket search (200 000 results at most, the report's own limit): one query for each family, its least member."""
+    heads, functions = _family_heads(spark, sf_dir), vector_keys(spark, sf_dir).withColumnRenamed("key", "function_id")
+    exact = _family_results(spark, sf_dir)
+    totals = exact.groupBy("family").agg(F.sum(F.col("relevant").cast("int")).alias("all_good"), F.sum((~F.col("relevant")).cast("int")).alias("all_bad"))
+    near = search.search_buckets(heads, functions, _REPORTED, PERMUTATIONS)
+    labels = members(spark, sf_dir).select(F.col("key").alias("function_id"), F.col("family").alias("label"))
+    approx = near.join(heads.select("query_id", "family"), "query_id").join(labels, "function_id").select("family", "distance", F.equal_null("label", "family").alias("relevant"))
+    curves = [
+        evaluate.roc(found, spark, totals).select("threshold", *[F.round(c, ROUND).alias(f"{c}_{kind}") for c in ("tpr", "fpr", "irr")])
+        for kind, found in (("exact", exact), ("approx", approx))
+    ]
+    return curves[0].join(curves[1], "threshold").withColumn("threshold", big("threshold"))
 
 
 @query(f"WITH {_RESULTS} SELECT family, CAST(sum(CASE WHEN relevant THEN 1 ELSE 0 END) AS BIGINT) AS relevant, count(*) AS results FROM r WHERE distance <= 26 GROUP BY ALL")
 def relevant_count(spark, sf_dir):
-    v = vector_hashes(spark, sf_dir)
-    asked = v.groupBy("label").agg(F.min_by("hash_a", "vec_id").alias("qa")).select(F.col("label").alias("family"), "qa")
-    found = v.crossJoin(F.broadcast(asked)).select("family", F.bit_count(F.col("hash_a").bitwiseXOR(F.col("qa"))).alias("distance"), (F.col("label") == F.col("family")).alias("relevant"))
-    return evaluate.relevant_counts(found, 26)
+    return evaluate.relevant_counts(_family_results(spark, sf_dir), 26)
 
 
 @query("WITH f AS (SELECT source AS family, count(*) AS size FROM documents GROUP BY ALL HAVING count(*) >= 5) SELECT family, size FROM f ORDER BY md5('subset:' || family), family LIMIT 10")
@@ -557,17 +579,8 @@ def family_subset(spark, sf_dir):
     return evaluate.family_subset(training_data.families(docs), 10, 5)
 
 
-@query(f"WITH {_VECTORS}, q AS (SELECT label, min(vec_id) AS vec_id FROM vectors GROUP BY label) SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.a, y.a)) AS BIGINT) AS distance FROM vectors x JOIN q USING (vec_id, label) CROSS JOIN vectors y")
-def distance_matrix(spark, sf_dir):
-    """Rows of the distance matrix of each family's least member."""
-    v = vector_keys(spark, sf_dir)
-    heads = members(spark, sf_dir).groupBy("family").agg(F.min("key").alias("key")).select("key")
-    left = v.join(heads, "key").select(F.col("key").alias("a"), F.col("hash_a").alias("x"))
-    return v.crossJoin(F.broadcast(left)).select("a", F.col("key").alias("b"), big(F.bit_count(F.col("hash_a").bitwiseXOR(F.col("x")))).alias("distance"))
-
-
 @query(f"WITH {_VECTORS} SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.a, y.a)) AS BIGINT) AS distance FROM vectors x CROSS JOIN vectors y")
-def distance_matrix_all(spark, sf_dir):
+def distance_matrix(spark, sf_dir):
     """The whole distance matrix: every vector against every vector."""
     return evaluate.distance_matrix(vector_keys(spark, sf_dir)).select("a", "b", big("distance").alias("distance"))
 

@@ -290,6 +290,9 @@ def test_histograms_and_roc(spark):
     found = spark.createDataFrame(rows, "family string, distance int, relevant boolean")
     curve = {r.threshold: r for r in evaluate.roc(found, spark).collect()}
     assert len(curve) == 128 and curve[4].tpr == 1.0 and curve[4].irr == 0.0 and curve[127].fpr == 1.0 and curve[0].tpr == pytest.approx(0.1)
+    totals = spark.createDataFrame([("f", 10, 20), ("g", 2, 4), ("h", 1, 1)], "family string, all_good int, all_bad int")
+    some = evaluate.roc(found, spark, totals).filter("threshold = 4").first()
+    assert some.tpr == pytest.approx((5 / 10 + 1 / 2 + 0) / 3) and some.fpr == 0.0 and some.irr == 0.0
     hashes = spark.createDataFrame([(0, 0, 0), (1, 3, 0), (2, 7, 1)], "key int, hash_a bigint, hash_b bigint")
     assert evaluate.distance_statistics(hashes).first().asDict() == {"least": 2, "mean": pytest.approx(8 / 3), "most": 4}
     assert evaluate.distance_matrix(hashes).filter("a = b and distance <> 0").count() == 0

@@ -44,7 +44,7 @@ def test_query_without_sql_agrees_with_itself(spark, name):
 @needs_data
 def test_distance_matrix_holds_all_pairs(spark):
     n = queries.vector_keys(spark, SF).count()
-    assert queries.QUERIES["distance_matrix_all"](spark, SF).count() == n * n
+    assert queries.QUERIES["distance_matrix"](spark, SF).count() == n * n
 
 
 @needs_data
