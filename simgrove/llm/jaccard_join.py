@@ -35,8 +35,8 @@ EXTRA = 0.125
 ORDERS = 3
 #: Members of a cluster, and sets that ask for it, that are counted at once.
 CHUNK = 500
-#: Single sets of a list up to which their pairs are listed before they are counted; beyond, they are counted in
-#: the join that finds them. The links are the same.
+#: Single sets of a list up to which their pairs are listed before they are counted; beyond, they are counted where
+#: they meet, in blocks of CHUNK by CHUNK. The links are the same.
 MANY = 50
 #: Clusters of a list that stand in one array.
 LIST = 1000
@@ -222,6 +222,73 @@ def _best_link(percent: int):
     return run
 
 
+#: Columns of a table of lists against tables of one block that are dense at once.
+DENSE = 4096
+
+
+def _flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bounds of a column of lists."""
+    lists = table[name].combine_chunks()
+    return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+
+
+def _overlap(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], below: int | None = None) -> np.ndarray:
+    """Whether each list of x shares a value with each of y; below: of those values only."""
+    names = np.intersect1d(x[0], y[0])
+    names = names if below is None else names[names < below]
+    out = np.zeros((len(x[1]) - 1, len(y[1]) - 1), bool)
+    for lo in range(0, len(names), DENSE):
+        some, held = names[lo : lo + DENSE], []
+        for flat, bounds in (x, y):
+            at = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+            known = some[at] == flat
+            dense = np.zeros((len(bounds) - 1, len(some)), np.float32)
+            dense[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[known], at[known]] = 1
+            held.append(dense)
+        out |= held[0] @ held[1].T > 0
+    return out
+
+
+def _links_of_list(percent: int):
+    """Linked pairs of single sets of different groups, of one part of a list and another. Two sets that share several
+    long lists are counted at the least of them, and only if they share a prefix token under every order."""
+
+    def run(below: pa.Table, above: pa.Table) -> pa.Table:
+        out = []
+        if below.num_rows and above.num_rows:
+            (u, gu, nu), (v, gv, nv) = ([t[c].to_numpy() for c in ("lead", "label", "n")] for t in (below, above))
+            asks = gu[:, None] != gv
+            if below["i"][0].as_py() == below["j"][0].as_py():
+                asks &= u[:, None] < v
+            asks &= 100 * np.minimum(nu[:, None], nv) >= percent * np.maximum(nu[:, None], nv)
+            if asks.any():
+                asks &= ~_overlap(_flat(below, "lists"), _flat(above, "lists"), below["token"][0].as_py())
+            for i in range(1, ORDERS):
+                if asks.any():
+                    asks &= _overlap(_flat(below, f"p{i}"), _flat(above, f"p{i}"))
+            (mine, ends), (flat, bounds) = _flat(below, "tokens"), _flat(above, "tokens")
+            names, place = np.unique(flat, return_inverse=True)
+            mark = np.zeros(len(names), np.int64)
+            for row in np.flatnonzero(asks.any(axis=1)).tolist():
+                tokens = mine[ends[row] : ends[row + 1]]
+                known = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
+                known = known[names[known] == tokens]
+                mark[known] = 1
+                met = np.flatnonzero(asks[row])
+                width = bounds[met + 1] - bounds[met]
+                at = np.repeat(bounds[met] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+                counts = np.concatenate([[0], np.cumsum(mark[place[at]])])
+                both = np.diff(counts[np.concatenate([[0], np.cumsum(width)])])
+                mark[known] = 0
+                either = nu[row] + nv[met] - both
+                linked = 100 * both >= percent * either
+                out += [(int(u[row]), *x) for x in zip(v[met][linked].tolist(), both[linked].tolist(), either[linked].tolist(), strict=True)]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("u", "v", "both", "either"), columns, strict=True)})
+
+    return run
+
+
 def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(documents, links). documents: ord, doc_id, content, n, rep (least ord of the class, null for an empty set);
     links: u, v, both, either between class representatives, enough of them to connect all that are linked."""
@@ -289,22 +356,20 @@ def links_between(docs: DataFrame, space: Workspace, percent: int = 75) -> tuple
 
     seated = [seats(i) for i in range(ORDERS)]
     # A pair of single sets is a candidate if it passes every order. Where few meet, candidates are listed; where many
-    # do, two of them share many lists: they are counted at the least of these, and only links leave the join.
+    # do, two of them share many lists: they are counted at the least of these, and only links leave a block.
     detail = sets.select(F.col("ord").alias("lead"), "n", "tokens", *[f"p{i}" for i in range(1, ORDERS)])
     single = seated[0].filter("members = 1")
-    few, many = single.filter(F.col("singles") <= MANY), single.filter(F.col("singles") > MANY).select("token", "lead", "label")
+    few, many = single.filter(F.col("singles") <= MANY), single.filter(F.col("singles") > MANY).select("token", "lead", "label", "singles")
+    parts = F.ceil(F.col("singles") / CHUNK)
     many = many.join(many.groupBy("lead").agg(F.collect_set("token").alias("lists")).hint("merge"), "lead").join(detail.hint("merge"), "lead")
-    many = space.keep(many, "many")
+    many = space.keep(many.withColumn("part", F.pmod(F.xxhash64("lead"), parts)).withColumn("last", parts - 1), "many")
     alone = space.keep(_meeting(few, few, larger=False).select(F.explode("us").alias("u"), "v"), "alone", small=True)
     linked_few = _verified(alone, sets, filtered=True).filter(linked)
-    a, b = (many.select("token", *[F.col(x).alias(f"{x}{c}") for x in many.columns if x not in ("token", "lead")], F.col("lead").alias(c)) for c in "uv")
-    both = F.size(F.array_intersect("tokensu", "tokensv")).cast("bigint")
-    either = F.col("nu") + F.col("nv") - both
-    passes = fits & (100 * both >= percent * either)
-    for i in range(1, ORDERS):
-        passes = F.arrays_overlap(f"p{i}u", f"p{i}v") & passes
-    once = (F.col("u") < F.col("v")) & (F.col("labelu") != F.col("labelv")) & (F.array_min(F.array_intersect("listsu", "listsv")) == F.col("token"))
-    linked_many = a.join(b, "token").filter(once & passes).select("u", "v", both.alias("both"), either.alias("either"))
+    # Each part of a list meets itself and the later ones, a block at a time.
+    below = many.withColumn("i", F.col("part")).withColumn("j", F.explode(F.sequence("part", "last"))).drop("part", "last")
+    above = many.withColumn("j", F.col("part")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), "part"))).drop("part", "last")
+    block = ["token", "i", "j"]
+    linked_many = below.groupBy(*block).cogroup(above.groupBy(*block)).applyInArrow(_links_of_list(percent), "u bigint, v bigint, both bigint, either bigint")
     alone = space.keep(linked_few.unionByName(linked_many), "alone-links", small=True)
     # Clusters of several members, and any cluster: a link of two of their sets shares a list under every order.
     met = [space.keep(_meeting(s, s.filter("members > 1"), larger=True), f"met{i}") for i, s in enumerate(seated)]

@@ -129,6 +129,37 @@ def edit_chain(seed, members=30):
     return chain
 
 
+def test_jaccard_links_of_long_lists(spark, monkeypatch):
+    """Sets of one long list are counted in blocks, each pair at the least list that both are in; they don't meet in a join."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    sets = [sorted(rng.sample(range(40), rng.randint(14, 30))) for _ in range(60)]
+    orders = [[s[:6] for s in sets], [s[-6:] for s in sets]]
+    lists = [[t for t in s if t < 6] for s in sets]
+    run, found = jaccard_join._links_of_list(60), []
+    for token in range(6):
+        rows = [i for i, held in enumerate(lists) if token in held]
+        made = pa.table({"token": [token] * len(rows), "lead": rows, "label": [i // 2 for i in rows], "n": [len(sets[i]) for i in rows], "tokens": [sets[i] for i in rows], "lists": [lists[i] for i in rows], "p1": [orders[0][i] for i in rows], "p2": [orders[1][i] for i in rows]})
+        for k, (x, y) in enumerate(((0, 0), (0, 1), (1, 1))):
+            parts = [made.take([n for n, i in enumerate(rows) if i % 2 == part]) for part in (x, y)]
+            below, above = (t.append_column("i", pa.array([x] * t.num_rows)).append_column("j", pa.array([y] * t.num_rows)) for t in parts)
+            found += [tuple(r.values()) for r in run(below, above).to_pylist()]
+    expected = set()
+    for u in range(60):
+        for v in range(u):
+            both, either = len({*sets[u]} & {*sets[v]}), len({*sets[u]} | {*sets[v]})
+            meet = {*lists[u]} & {*lists[v]} and all({*o[u]} & {*o[v]} for o in orders)
+            if meet and u // 2 != v // 2 and 100 * both >= 60 * either:
+                expected.add((v, u, both, either))
+    assert len(expected) > 20 and len(found) == len(expected)
+    assert {(min(u, v), max(u, v), b, e) for u, v, b, e in found} == expected
+    monkeypatch.setattr(jaccard_join, "MANY", 1)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 5)
+    texts = [near(base, i, share) for base in (prose(5), prose(6)) for share in (0.02, 0.045) for i in range(30)]
+    check_components(jaccard_components(table(spark, texts).repartition(6)).collect(), texts)
+
+
 def test_jaccard_components_of_edit_chains(spark):
     """Pivots that are led by other pivots: the only member of a cluster needn't be the one it is named after."""
     texts, ids, label = [], [], {}
