@@ -13,28 +13,55 @@ from .index import explode_buckets
 
 #: Functions and queries that are compared at once.
 BLOCK = 16_384
-TURN = 512
+#: Exact search: functions and queries of a block. Of each block a query keeps its n nearest, so functions are many.
+FUNCTIONS, QUERIES = 65_536, 8_192
+TURN, STRIP = 32, 4_096
 FOUND = "query_id {kind}, function_id {other}, distance int"
 
 
 def _nearest(queries: pa.Table, functions: pa.Table, n: int, distinct_ids: bool) -> pa.Table:
-    """The n nearest functions of a block for each query, by distance and then id."""
+    """The n nearest functions of a block for each query, by distance and then id.
+
+    Functions go by in order of their ids, in strips that grow, so a later one only counts if it is nearer than the n-th
+    found so far; few are, and only these are sorted. Distances stay bytes."""
     out_q, out_f, out_d = [], [], []
     order = np.argsort(functions["function_id"].to_numpy(), kind="stable")
     ids = functions["function_id"].to_numpy()[order]
     fa, fb = (functions[c].to_numpy()[order].view(np.uint64) for c in ("hash_a", "hash_b"))
     names, qa, qb = queries["query_id"].to_numpy(), *(queries[c].to_numpy().view(np.uint64) for c in ("qa", "qb"))
     # A key of distance and place is unique, so the n least keys are the n nearest.
-    place, most = np.arange(len(ids)), min(n, len(ids))
-    for lo in range(0, len(names) if len(ids) else 0, TURN):
+    most, none = min(n, len(ids)), 129 * len(ids)
+    strip = STRIP if 8 * most <= STRIP else max(1, len(ids))
+    words, ones, more = (np.empty(TURN * strip, kind) for kind in (np.uint64, np.uint8, np.uint8))
+    for lo in range(0, len(names) if most > 0 else 0, TURN):
         q = slice(lo, lo + TURN)
-        distance = np.bitwise_count(qa[q, None] ^ fa).astype(np.int64) + np.bitwise_count(qb[q, None] ^ fb)
-        key = distance * len(ids) + place
-        if distinct_ids:
-            key[names[q, None] == ids] = 129 * len(ids)
-        least = key if most == len(ids) else np.partition(key, most - 1, axis=1)[:, :most]
-        row, column = np.nonzero(least < 129 * len(ids))
-        found = least[row, column]
+        rows = len(names[q])
+        best, far = np.full((rows, most), none), np.full(rows, 129, np.uint8)
+        start, wide = 0, min(strip, 16 * most)
+        while start < len(ids):
+            f = slice(start, start + wide)
+            x, distance, b = (y[: rows * len(ids[f])].reshape(rows, -1) for y in (words, ones, more))
+            np.bitwise_count(np.bitwise_xor(qa[q, None], fa[f], out=x), out=distance)
+            distance += np.bitwise_count(np.bitwise_xor(qb[q, None], fb[f], out=x), out=b)
+            if distinct_ids:
+                distance[names[q, None] == ids[f]] = 129
+            near = np.flatnonzero(distance < far[:, None])
+            row, at = np.divmod(near, distance.shape[1])
+            at += start
+            start, wide = start + wide, min(strip, 2 * wide)
+            if not len(row):
+                continue
+            # The least keys of each row that found some, with those it had.
+            open_, count = np.unique(row, return_counts=True)
+            width = int(count.max())
+            keys = np.full((len(open_), most + width), none)
+            keys[:, :most] = best[open_]
+            first = np.cumsum(count) - count
+            keys[np.repeat(np.arange(len(open_)), count), most + np.arange(len(row)) - np.repeat(first, count)] = distance.ravel()[near].astype(np.int64) * len(ids) + at
+            best[open_] = np.partition(keys, most - 1, axis=1)[:, :most]
+            far[open_] = best[open_].max(axis=1) // len(ids)
+        row, column = np.nonzero(best < none)
+        found = best[row, column]
         out_q.append(names[q][row])
         out_f.append(ids[found % len(ids)])
         out_d.append((found // len(ids)).astype(np.int32))
@@ -77,10 +104,10 @@ def _each(df: DataFrame, name: str, parts: Column) -> DataFrame:
 def search_exact(queries: DataFrame, functions: DataFrame, n: int = 5, distinct_ids: bool = False) -> DataFrame:
     """query_id, function_id, distance, similarity, rank. queries: query_id, qa, qb; functions: function_id, hash_a, hash_b.
 
-    A stated set of queries against all functions, in blocks of BLOCK by BLOCK: of each block only the n nearest
+    A stated set of queries against all functions, in blocks of QUERIES by FUNCTIONS: of each block only the n nearest
     of a query leave its task. Both tables are counted, so they should be files or kept."""
     queries, functions = queries.select("query_id", "qa", "qb"), functions.select("function_id", "hash_a", "hash_b")
-    turns, parts = (F.lit(max(1, math.ceil(df.count() / BLOCK))).cast("bigint") for df in (queries, functions))
+    turns, parts = (F.lit(max(1, math.ceil(df.count() / size))).cast("bigint") for df, size in ((queries, QUERIES), (functions, FUNCTIONS)))
     asked = _each(_parts(queries, "turn", turns), "part", parts)
     held = _each(_parts(functions, "part", parts), "turn", turns)
     return _top(_cogrouped(asked, held, ["part", "turn"], n, distinct_ids), n)

@@ -379,3 +379,27 @@ def test_streams(spark, tmp_path):
     asked = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").select(F.col("address").alias("query_id"), F.col("hash_a").alias("qa"), F.col("hash_b").alias("qb"))
     match(asked, functions, f"{tmp_path}/out", f"{tmp_path}/c2", 1).awaitTermination()
     assert [r.distance for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [0] * 5
+
+
+def test_nearest_by_strips_equals_sorting(monkeypatch):
+    """Functions go by in strips, and of a strip only what is nearer than the n-th so far is ranked."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "TURN", 7)
+    monkeypatch.setattr(search, "STRIP", 48)
+    rng = np.random.default_rng(3)
+    words = rng.integers(-(2**63), 2**63 - 1, (400, 2))
+    words[:150] = words[0]
+    ids = rng.permutation(400)
+    functions = pa.table({"function_id": ids, "hash_a": words[:, 0], "hash_b": words[:, 1]})
+    queries = pa.table({"query_id": ids[100:200], "qa": words[100:200, 0], "qb": words[100:200, 1]})
+    for n in (1, 5, 60, 1000):
+        for distinct in (True, False):
+            found = sorted(tuple(r.values()) for r in search._nearest(queries, functions, n, distinct).to_pylist())
+            expected = []
+            for i in range(100, 200):
+                apart = np.bitwise_count(words[i].view(np.uint64) ^ words.view(np.uint64)).sum(axis=1)
+                ranked = sorted((int(d), int(f)) for d, f in zip(apart, ids, strict=True) if not distinct or f != ids[i])
+                expected += [(int(ids[i]), f, d) for d, f in ranked[:n]]
+            assert found == sorted(expected)
