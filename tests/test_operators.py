@@ -403,3 +403,24 @@ def test_nearest_by_strips_equals_sorting(monkeypatch):
                 ranked = sorted((int(d), int(f)) for d, f in zip(apart, ids, strict=True) if not distinct or f != ids[i])
                 expected += [(int(ids[i]), f, d) for d, f in ranked[:n]]
             assert found == sorted(expected)
+
+
+def test_least_hashes_of_pairs_in_blocks(spark, monkeypatch):
+    """Each pair of a family is hashed once, in blocks; the first of each set equal a sort of all pairs by MD5."""
+    import hashlib
+
+    monkeypatch.setattr(training_data, "BLOCK", 7)
+    monkeypatch.setattr(training_data, "TURN", 40)
+    rng = random.Random(4)
+    for make in (lambda i: i * 37, lambda i: "k" * (i % 3 * 20) + str(i)):
+        rows = [(make(i), rng.choice("abc"), rng.random() < 0.3) for i in range(90)]
+        split = spark.createDataFrame(rows, f"key {'bigint' if isinstance(rows[0][0], int) else 'string'}, family string, validation boolean")
+        for across in (False, True):
+            found = {(r.validation, r.a, r.b) for r in training_data.training_sets(split, 40, across).filter("attract").collect()}
+            expected = set()
+            for wanted in (False, True):
+                fits = (lambda v, w: v == w == wanted) if not across else (lambda v, w: (v != w) if wanted else not v and not w)
+                pairs = [(x, y) for x, f, v in rows for y, g, w in rows if f == g and x < y and fits(v, w)]
+                pairs.sort(key=lambda p: (hashlib.md5(f"attract:{p[0]}:{p[1]}".encode()).hexdigest(), p))
+                expected |= {(wanted, *p) for p in pairs[:40]}
+            assert found == expected and len(found) == 80
