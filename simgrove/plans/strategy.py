@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 EXACT_LIMIT = 5_000_000_000
 #: Rows of a side that may be broadcast; a row of hashes takes about 40 bytes.
 BROADCAST_ROWS = 100_000
+#: Shuffle files go when the write that needed them is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _folders: dict[str, str] = {}
 
 
@@ -30,7 +32,12 @@ def kept(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = _folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="simgrove-"))
     path = f"{at.rstrip('/')}/kept-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

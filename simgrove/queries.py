@@ -212,19 +212,20 @@ _LEARNT = _FEATURES + """, learnt AS (SELECT a, 50000 + 1000 * CAST(a % 1000 AS
 w AS (SELECT f.key, f.a, f.b, coalesce(l.micro, 50000) AS micro FROM features f LEFT JOIN learnt l ON l.a = f.a)"""
 
 
-def _learnt_weights(features: DataFrame) -> DataFrame:
-    """feature_a, weight: made from the ids of every second feature."""
+def _learnt_weights(features: DataFrame, distinct: bool = True) -> DataFrame:
+    """feature_a, weight: made from the ids of every second feature; distinct: one row each."""
     rest = F.pmod(F.col("feature_a"), F.lit(1000).cast("bigint"))
     # The remainder of the unsigned word: 2^64 leaves 616.
     unsigned = F.when(F.col("feature_a") < 0, F.pmod(rest + 616, F.lit(1000))).otherwise(rest)
-    return features.filter(F.col("feature_a").bitwiseAND(F.lit(1).cast("bigint")) == 0).select("feature_a", (0.05 + 0.001 * unsigned).alias("weight")).distinct()
+    names = features.filter(F.col("feature_a").bitwiseAND(F.lit(1).cast("bigint")) == 0).select("feature_a")
+    return (names.distinct() if distinct else names).select("feature_a", (0.05 + 0.001 * unsigned).alias("weight"))
 
 
 @query(f"WITH {_LEARNT}, states AS (SELECT key, {', '.join(f'''sum(CASE WHEN ({'a' if n < 64 else 'b'} >> {n % 64}) & 1 = 1 THEN micro ELSE -micro END) AS s{n}''' for n in range(128))} FROM w GROUP BY key) SELECT key AS doc_id, {_hex(_pack_sql(0))} || {_hex(_pack_sql(64))} AS simhash FROM states")
 def simhash_with_weights(spark, sf_dir):
     """Learnt weights (here made from the ids of every second feature), looked up by the first word."""
-    features = document_features(spark, sf_dir)
-    hashed = simhash.simhash128(simhash.with_weights(features, _learnt_weights(features)))
+    docs = table(spark, sf_dir, "documents")
+    hashed = simhash.weighted_text_simhash(docs, _learnt_weights(simhash.text_features(docs), distinct=False))
     return hashed.select(F.col("key").alias("doc_id"), hex128("hash_a", "hash_b").alias("simhash"))
 
 
@@ -787,12 +788,12 @@ h AS (SELECT false AS trained, key, {_pack_sql(0)} AS a, {_pack_sql(64)} AS b FR
 SELECT x.trained, p.attract, CAST({_DISTANCE} AS BIGINT) AS distance, count(*) AS pairs FROM pairs p JOIN h x ON x.key = p.a JOIN h y ON y.key = p.b AND y.trained = x.trained GROUP BY ALL""")
 def trained_and_untrained_distances(spark, sf_dir):
     """Distances of pairs of one source and of two, under default and under learnt weights."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("family"))
+    texts = table(spark, sf_dir, "documents")
+    docs = texts.select(F.col("doc_id").alias("key"), F.col("source").alias("family"))
     pairs = training_data.chain_pairs(docs).select("a", "b", F.lit(True).alias("attract")).unionByName(training_data.repulsion_pairs(docs).select("a", "b", F.lit(False).alias("attract")))
-    features = kept(document_features(spark, sf_dir))
     found = []
-    for trained, weights in ((False, None), (True, _learnt_weights(features))):
-        hashes = simhash.simhash128(simhash.with_weights(features, weights))
+    for trained in (False, True):
+        hashes = kept(simhash.weighted_text_simhash(texts, _learnt_weights(simhash.text_features(texts), distinct=False)) if trained else simhash.text_simhash(texts))
         distances = evaluate.pair_distances(pairs, hashes).withColumn("trained", F.lit(trained))
         found.append(evaluate.histogram(distances, "trained", "attract").select("trained", "attract", big("distance").alias("distance"), "pairs"))
     return found[0].unionByName(found[1])
@@ -827,8 +828,7 @@ def weights_file_round_trip(spark, sf_dir):
     from .sources.readers import parse_weights
     from .sources.writers import weight_lines
 
-    features = document_features(spark, sf_dir)
-    weights = _learnt_weights(features).withColumn("feature_b", F.lit(0).cast("bigint"))
+    weights = _learnt_weights(simhash.text_features(table(spark, sf_dir, "documents"))).withColumn("feature_b", F.lit(0).cast("bigint"))
     parsed = parse_weights(weight_lines(weights).withColumn("line", F.lit(0)))
     return parsed.select(hex64("feature_a").alias("feature"), F.round(F.col("weight").cast("double"), 3).alias("weight"))
 

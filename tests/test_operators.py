@@ -424,3 +424,24 @@ def test_least_hashes_of_pairs_in_blocks(spark, monkeypatch):
                 pairs.sort(key=lambda p: (hashlib.md5(f"attract:{p[0]}:{p[1]}".encode()).hexdigest(), p))
                 expected |= {(wanted, *p) for p in pairs[:40]}
             assert found == expected and len(found) == 80
+
+
+def test_weighted_text_simhash_equals_sums_of_feature_rows(spark, monkeypatch):
+    """As simhash128 over feature rows and a join with weights; features leave no row in a shuffle."""
+    monkeypatch.setattr(simhash, "SLICE", 3)
+    monkeypatch.setattr(simhash, "GROUP", 4)
+    monkeypatch.setattr(simhash, "UNPACKED", 5)
+    rng = random.Random(6)
+    texts = [None, "", "one two", "a b c", "a a a a a a", *[" ".join(rng.choice("abcdef") for _ in range(rng.randint(3, 60))) for _ in range(30)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    features = sequences.native_features(sequences.text_trigrams(docs))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(simhash.text_features(docs)) == rows(features.select("key", "feature_a", "feature_b"))
+    some = features.filter("feature_a % 3 = 0").select("feature_a", ((F.abs("feature_a") % 5000) / 1000 - 2).alias("weight"))
+    for weights in (some.unionByName(some), some.limit(0)):
+        expected = simhash.simhash128(simhash.with_weights(features, weights.distinct()))
+        found = simhash.weighted_text_simhash(docs, weights)
+        assert rows(found) == rows(expected) and found.count() == 32
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "feature_b" not in plan and "hashpartitioning(key" not in plan
+    assert simhash.weighted_text_simhash(docs.limit(0), some).count() == 0
