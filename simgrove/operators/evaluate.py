@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import hamming128
+from ..plans.strategy import kept
+
+#: Distance matrix: hashes of a block (a multiple of 8, so that repetitions fall on whole bytes), and blocks of a task's side.
+BLOCK, BLOCKS = 1024, 4
 
 
 def pair_distances(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -32,10 +41,39 @@ def distance_statistics(hashes: DataFrame) -> DataFrame:
     return left.join(right, F.col("a") < F.col("b")).agg(*[f(hamming128("a1", "a2", "b1", "b2")).alias(n) for f, n in ((F.min, "least"), (F.avg, "mean"), (F.max, "most"))])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's hashes, BLOCK to a row; the blocks are numbered over all partitions."""
+    part, batches = TaskContext.get().partitionId() << 32, list(batches)
+    rows = pa.Table.from_batches(batches) if batches else []
+    for at in range(0, len(rows), BLOCK):
+        block = rows.slice(at, BLOCK).combine_chunks()
+        lists = [pa.ListArray.from_arrays([0, len(block)], c.chunk(0)) for c in block.columns]
+        yield pa.RecordBatch.from_arrays([pa.array([part + at]), *lists], names=["block", *block.column_names])
+
+
 def distance_matrix(hashes: DataFrame) -> DataFrame:
-    left = hashes.select(F.col("key").alias("a"), F.col("hash_a").alias("a1"), F.col("hash_b").alias("a2"))
-    right = hashes.select(F.col("key").alias("b"), F.col("hash_a").alias("b1"), F.col("hash_b").alias("b2"))
-    return left.crossJoin(right).select("a", "b", hamming128("a1", "a2", "b1", "b2").alias("distance"))
+    """a, b, distance of every hash against every hash, itself included. hashes: key, hash_a, hash_b.
+
+    Hashes go to a kept table in blocks, and tasks take BLOCKS of these against as many rows. A hash meets a block that
+    isn't before its own: first come its rows with the block's keys, then, for another block, the same distances with a
+    and b exchanged. So a distance is found once, and in files the block's keys and a row's distances are repetitions,
+    which a codec takes out. hashes is counted, so it should be a file or kept."""
+    hashes = hashes.select("key", "hash_a", "hash_b")
+    schema = "block bigint, " + ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in hashes.schema)
+    dealt = hashes.repartition(max(1, math.ceil(hashes.count() / (16 * BLOCK))))
+    blocks = kept(dealt.mapInArrow(_blocks, schema))
+    number, cores = blocks.count(), hashes.sparkSession.sparkContext.defaultParallelism
+    blocks = blocks.repartition(max(1, min(number, max(math.ceil(number / BLOCKS), math.isqrt(2 * cores) + 1))))
+    row = F.explode(F.arrays_zip("key", "hash_a", "hash_b")).alias("row")
+    rows = blocks.select(F.col("block").alias("own"), row).select("own", F.col("row.key").alias("a"), F.col("row.hash_a").alias("a1"), F.col("row.hash_b").alias("a2"))
+    # Never a broadcast: a task would hold all rows that come of one row of the other side.
+    met = blocks.join(rows.hint("shuffle_replicate_nl"), F.col("own") <= F.col("block"))
+    size = F.size("key")
+    turns = F.when(F.col("own") == F.col("block"), size).otherwise(2 * size)
+    met = met.select("*", F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"))
+    there, at = F.col("turn") < size, F.when(F.col("turn") < size, F.col("turn")).otherwise(F.col("turn") - size)
+    key, b1, b2 = (F.get(c, at) for c in ("key", "hash_a", "hash_b"))
+    return met.select(F.when(there, F.col("a")).otherwise(key).alias("a"), F.when(there, key).otherwise(F.col("a")).alias("b"), hamming128("a1", "a2", b1, b2).alias("distance"))
 
 
 def family_subset(families: DataFrame, number: int | None = None, least: int = 1, salt: str = "subset") -> DataFrame:

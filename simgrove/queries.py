@@ -583,7 +583,9 @@ def family_subset(spark, sf_dir):
 @query(f"WITH {_VECTORS} SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.a, y.a)) AS BIGINT) AS distance FROM vectors x CROSS JOIN vectors y")
 def distance_matrix(spark, sf_dir):
     """The whole distance matrix: every vector against every vector."""
-    return evaluate.distance_matrix(vector_keys(spark, sf_dir)).select("a", "b", big("distance").alias("distance"))
+    words = simhash.floats_to_words(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    hashes = words.select(F.col("vec_id").alias("key"), F.col("word0").alias("hash_a"), F.lit(0).cast("bigint").alias("hash_b"))
+    return evaluate.distance_matrix(hashes).select("a", "b", big("distance").alias("distance"))
 
 
 # --- scalars -------------------------------------------------------------------------------------------------

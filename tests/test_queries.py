@@ -47,6 +47,32 @@ def test_distance_matrix_holds_all_pairs(spark):
     assert queries.QUERIES["distance_matrix"](spark, SF).count() == n * n
 
 
+def test_distance_matrix_of_several_blocks(spark, tmp_path):
+    """Repeated and missing ids, three blocks: all rows, over several tasks, in files of under a byte a row."""
+    import duckdb
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    vectors = np.random.default_rng(5).normal(size=(2500, 64)).astype(np.float32)
+    ids = [None, 7, 7, *range(10, 2507)]
+    pq.write_table(pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": vectors.tolist(), "label": pa.array([1] * 2500, pa.int32())}), tmp_path / "embeddings.parquet")
+    queries.QUERIES["distance_matrix"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    files = glob.glob(f"{tmp_path}/out/*.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    c.sql(f"CREATE TABLE found AS SELECT a, b, distance, count(*) AS n FROM '{tmp_path}/out/*.parquet' GROUP BY ALL")
+    c.sql(f"CREATE TABLE wanted AS SELECT a, b, distance, count(*) AS n FROM ({queries.ORACLES['distance_matrix']}) GROUP BY ALL")
+    assert c.sql("SELECT sum(n) FROM found").fetchall() == [(2500 * 2500,)]
+    assert not c.sql("(FROM found EXCEPT FROM wanted) UNION ALL (FROM wanted EXCEPT FROM found)").fetchall()
+    assert len(files) > 1 and sum(map(os.path.getsize, files)) < 2500 * 2500
+
+
+def test_distance_matrix_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert queries.QUERIES["distance_matrix"](spark, str(tmp_path)).count() == 0
+
+
 @needs_data
 def test_entry(spark):
     found = entry.entry(spark)
